@@ -31,50 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import blocks, scratch
 from . import words as W
 
 MIN_WORDS, SEED_WORDS = 13, 5
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
+SHARD_BYTES = 32 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
-_PACKED = pa.schema([("id", pa.int64()), ("text", pa.string())])
-
-
-def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, bytes, payload): documents in compressed blocks, which keep their identity once they are written."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, waiting, held = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for piece in W.pieces(batch, "text", BLOCK_BYTES):
-                waiting.append(piece)
-                held += piece.nbytes
-                if held >= BLOCK_BYTES:
-                    yield row(block, waiting)
-                    block, waiting, held = block + 1, [], 0
-        if waiting:
-            yield row(block, waiting)
-
-    def row(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches(parts).cast(_PACKED).combine_chunks())
-        return pa.record_batch({"block": pa.array([block], pa.int64()), "bytes": pa.array([sum(p.nbytes for p in parts)], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(blocks, "block long, bytes long, payload binary")
 
 
 class Block:
     """A block's documents, words and passages."""
 
     def __init__(self, payload: bytes, n: int, k: int):
-        table = pa.ipc.open_stream(payload).read_all().combine_chunks()
-        text = table.column("text")
-        self.text = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
-        self.ids = table.column("id")
+        self.ids, self.text = blocks.unpack(payload)
         self.words = W.split(self.text)
         known = np.asarray(self.ids.is_valid(), dtype=bool)
         self.doc = np.asarray(self.ids.fill_null(0), dtype=np.int64)
@@ -115,10 +85,6 @@ class Block:
         return one[new], two[new].astype(np.uint16), owner[new], place
 
 
-def _answers(rows: list[dict] | None, kind: int) -> list[bytes]:
-    return [x["answer"] for x in sorted((x for x in rows or [] if x["kind"] == kind), key=lambda x: x["shard"])]
-
-
 def _shared(answers: list[bytes], keys: np.ndarray) -> np.ndarray:
     """One bit for each key, from the shards' bitmaps."""
     if not len(keys):
@@ -127,24 +93,6 @@ def _shared(answers: list[bytes], keys: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=c) for a, c in zip(answers, counts, strict=True)]).astype(bool)
 
 
-def _unzip(answers: list[bytes]) -> np.ndarray:
-    parts = [np.frombuffer(pa.decompress(a[8:], int.from_bytes(a[:8], "little"), codec="zstd"), np.int64) for a in answers]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _zip(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values, dtype=np.int64).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _table(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-_ASK = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("answer", pa.binary())])
-
-
 def _ask_anchors(n: int, k: int, shards: int):
     def ask(batches):
         for batch in batches:
@@ -154,7 +102,7 @@ def _ask_anchors(n: int, k: int, shards: int):
                 raw = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5]
                 cuts = [*at, len(keys)]
                 for s, a, b in zip(shard.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    yield _table(_ASK, [[block], [s], [raw[a:b].tobytes()], [np.packbits(several[a:b]).tobytes()]])
+                    yield blocks.table(blocks.ASK, [[block], [s], [raw[a:b].tobytes()], [np.packbits(several[a:b]).tobytes()]])
 
     return ask
 
@@ -177,7 +125,7 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     out[order] = shared[np.cumsum(new) - 1]
     answers = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
     m = table.num_rows
-    return pa.Table.from_batches([_table(_ANSWER, [table.column("block").to_pylist(), [0] * m, table.column("shard").to_pylist(), answers])])
+    return pa.Table.from_batches([blocks.table(blocks.ANSWER, [table.column("block").to_pylist(), [0] * m, table.column("shard").to_pylist(), answers])])
 
 
 def _ask_passages(n: int, k: int, shards: int):
@@ -186,11 +134,11 @@ def _ask_passages(n: int, k: int, shards: int):
             for block, payload, rows in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers"), strict=True):
                 found = Block(payload.as_py(), n, k)
                 keys, _, inverse = found.anchors(shards)
-                one, two, owner, _ = found.passages(_shared(_answers(rows.as_py(), 0), keys)[inverse])
+                one, two, owner, _ = found.passages(_shared(blocks.answers(rows.as_py(), 0), keys)[inverse])
                 shard, at = np.unique((one >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), return_index=True)
                 cuts = [*at, len(one)]
                 for s, a, b in zip(shard.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    yield _table(_ASK, [[block], [s], [one[a:b].tobytes() + two[a:b].tobytes()], [_zip(owner[a:b])]])
+                    yield blocks.table(blocks.ASK, [[block], [s], [one[a:b].tobytes() + two[a:b].tobytes()], [blocks.zipped(owner[a:b])]])
 
     return ask
 
@@ -204,7 +152,7 @@ def _answer_passages(table: pa.Table) -> pa.Table:
         sizes.append(c)
         one.append(np.frombuffer(raw, np.uint64, c))
         two.append(np.frombuffer(raw, np.uint16, c, 8 * c))
-        owner.append(_unzip([extra.as_py()]))
+        owner.append(blocks.unzip([extra.as_py()]))
     one, two, owner = np.concatenate(one), np.concatenate(two), np.concatenate(owner)
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
@@ -213,9 +161,9 @@ def _answer_passages(table: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
     out = np.empty(len(a), np.int64)
     out[order] = least[np.cumsum(new) - 1]
-    answers = [_zip(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
+    answers = [blocks.zipped(x) for x in np.split(out, np.cumsum(sizes)[:-1])]
     m = table.num_rows
-    return pa.Table.from_batches([_table(_ANSWER, [table.column("block").to_pylist(), [1] * m, table.column("shard").to_pylist(), answers])])
+    return pa.Table.from_batches([blocks.table(blocks.ANSWER, [table.column("block").to_pylist(), [1] * m, table.column("shard").to_pylist(), answers])])
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
@@ -228,9 +176,9 @@ def _remove(n: int, k: int, shards: int):
             for payload, rows in zip(batch.column("payload"), batch.column("answers"), strict=True):
                 found, rows = Block(payload.as_py(), n, k), rows.as_py()
                 keys, _, inverse = found.anchors(shards)
-                chosen = _shared(_answers(rows, 0), keys)[inverse]
+                chosen = _shared(blocks.answers(rows, 0), keys)[inverse]
                 _, _, _, place = found.passages(chosen)
-                earlier = _unzip(_answers(rows, 1))[place] < found.owner[chosen]
+                earlier = blocks.unzip(blocks.answers(rows, 1))[place] < found.owner[chosen]
                 starts = found.at[chosen][earlier]
                 step = np.zeros(len(found.words.hashes) + 1, np.int64)
                 np.add.at(step, starts, 1)
@@ -255,7 +203,7 @@ def _results(found: Block, covered: np.ndarray) -> Iterator[pa.RecordBatch]:
             parts = [parts[i] for i in np.flatnonzero(~here)]
         texts.append(b" ".join(parts).decode())
         spans.append(gone)
-    yield pa.record_batch([found.ids.combine_chunks() if isinstance(found.ids, pa.ChunkedArray) else found.ids, pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPAN), pa.array(texts, pa.string())], schema=_OUT)
+    yield pa.record_batch([found.ids, pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPAN), pa.array(texts, pa.string())], schema=_OUT)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -271,17 +219,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("seed_words must lie between 1 and min_words")
     spark = docs.sparkSession
     scratch.tune(spark)
-    blocks = scratch.keep(pack(docs, id_col, text_col), "blocks")
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    packed = scratch.keep(blocks.pack(docs, id_col, text_col), "blocks")
+    total = packed.agg(F.sum("bytes")).first()[0] or 0
     shards, n, k = scratch.shards(total, SHARD_BYTES), min_words, seed_words
-    answer = "block long, kind int, shard int, answer binary"
-    ask = "block long, shard int, keys binary, extra binary"
-    payload = blocks.select("block", "payload")
-    shared = payload.mapInArrow(_ask_anchors(n, k, shards), ask).groupBy("shard").applyInArrow(_answer_anchors, answer)
-
-    def answered(rows: DataFrame) -> DataFrame:
-        return payload.join(rows.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "answer")).alias("answers")), "block", "left")
-
-    least = answered(shared).mapInArrow(_ask_passages(n, k, shards), ask).groupBy("shard").applyInArrow(_answer_passages, answer)
-    out = answered(shared.unionAll(least)).mapInArrow(_remove(n, k, shards), "id long, n_words long, n_removed long, removed array<struct<start: int, length: int>>, kept_text string")
+    payload = packed.select("block", "payload")
+    shared = payload.mapInArrow(_ask_anchors(n, k, shards), blocks.ASK_DDL).groupBy("shard").applyInArrow(_answer_anchors, blocks.ANSWER_DDL)
+    least = blocks.answered(payload, shared).mapInArrow(_ask_passages(n, k, shards), blocks.ASK_DDL).groupBy("shard").applyInArrow(_answer_passages, blocks.ANSWER_DDL)
+    out = blocks.answered(payload, shared.unionAll(least)).mapInArrow(_remove(n, k, shards), "id long, n_words long, n_removed long, removed array<struct<start: int, length: int>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
