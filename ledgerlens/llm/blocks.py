@@ -1,6 +1,6 @@
 """Blocks of documents that ask shards of hash space, and the answers they get back.
 
-Documents are packed into compressed blocks of a few MB.  Each block sends a shard
+Documents are packed into compressed blocks of about 2 MB of text.  Each block sends a shard
 one sorted array of distinct keys (a question), however many of its documents hold
 a key; the shard sees the questions of all blocks and returns an array aligned
 with each question.  A key held by a third of all rows therefore costs one entry
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PACKED = pa.schema([("id", pa.int64()), ("text", pa.string())])
 ASK = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("answer", pa.binary())])
@@ -53,7 +53,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def unpack(payload: bytes) -> tuple[pa.Array, pa.Array]:
-    """The ids and texts of a block."""
+    """The ids and texts of a block.  What earlier blocks have used goes back to the system first."""
+    pa.default_memory_pool().release_unused()
     table = pa.ipc.open_stream(payload).read_all().combine_chunks()
     return tuple(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
 

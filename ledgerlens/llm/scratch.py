@@ -47,8 +47,9 @@ def release(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Batches between the JVM and Python are bounded by rows; texts can be long, so take fewer rows than by default."""
+    """Bound the batches between the JVM and Python by bytes too: texts and blocks can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shards(total: int, each: int) -> int:
