@@ -93,3 +93,79 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(_read(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+
+
+#: Target weights of the sources of the test tables.
+WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
+
+
+def mix_sql(documents: str = "documents") -> str:
+    weight = "CASE " + " ".join(f"WHEN source = '{s}' THEN {w}" for s, w in WEIGHTS.items()) + " ELSE 1 END"
+    return f"""
+src AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS i, source, {weight} AS weight, n FROM (SELECT source, count(*) AS n FROM {documents} GROUP BY source)),
+lists AS (SELECT list(weight ORDER BY i) AS ws, sum(weight)::BIGINT AS q FROM src),
+edf AS (
+  SELECT 0 AS t, list_transform(ws, lambda x: 0) AS done, 0 AS pick FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(ws) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (SELECT t, done, ws, q, list_sort(list_filter(list_transform(range(1, len(ws) + 1),
+          lambda i: [ceil((done[i] + 1) * q / ws[i])::BIGINT, i, floor(done[i] * q / ws[i])::BIGINT]), lambda c: c[3] <= t))[1][2] AS p
+        FROM edf, lists WHERE t < q)
+), slots AS (SELECT pick AS i, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t > 0),
+ranked AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS r FROM {documents} d),
+mixed AS (
+  SELECT d.*, r // 32 AS mix_block, src.weight AS w, q, (r // 32) // src.weight * q + slot AS mix_slot
+  FROM ranked d JOIN src ON d.source IS NOT DISTINCT FROM src.source JOIN slots s ON s.i = src.i AND s.nth = (r // 32) % src.weight, lists
+), short AS (SELECT min((n // 32) // weight * q + slot) AS m FROM src JOIN slots s ON s.i = src.i AND s.nth = (n // 32) % weight, lists)
+"""
+
+
+MIX_COLUMNS = """mix_block::BIGINT AS mix_block, floor(mix_block * q / w)::BIGINT AS mix_release, ceil((mix_block + 1) * q / w)::BIGINT AS mix_deadline,
+  mix_slot::BIGINT AS mix_slot, (mix_slot * 32 + r % 32)::BIGINT AS mix_position, mix_slot < m AS mix_exact"""
+
+
+@_query(f"WITH RECURSIVE {mix_sql()} SELECT doc_id, source, {MIX_COLUMNS} FROM mixed, short")
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix_sources
+
+    return mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+
+
+def _chat_sql() -> str:
+    from .chat_format import Template
+
+    t = Template()
+    esc = "replace(text, '\\', '\\\\')"
+    role = "replace(role, '\\', '\\\\')"
+    for c in t.controls():
+        esc, role = (f"replace({x}, '{c}', '{c[0]}\\{c[1:]}')" for x in (esc, role))
+    marks = " ".join(f"WHEN role = '{name}' THEN {2 * len(tag) + 7}" for name, (tag, _) in t.roles.items())
+    return f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), s AS (SELECT *, length({esc}) + CASE {marks} ELSE length({role}) + 21 END AS size FROM r)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(size) + 7)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+@_query(_chat_sql())
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_chats, loss_text, parsed
+
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    out = format_chats(rows.unionAll(planted)).withColumn("turns", parsed(F.col("formatted"))).withColumn("loss", loss_text(F.col("segments")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
