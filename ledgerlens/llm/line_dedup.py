@@ -39,18 +39,12 @@ class Lines:
     def __init__(self, payload: bytes, min_chars: int):
         self.ids, self.text = blocks.unpack(payload)
         self.data, at = W.buffers(self.text)
-        rows = len(at) - 1
-        cut = np.flatnonzero(self.data == 10)
-        row = np.searchsorted(at, cut, side="right") - 1
-        self.n_lines = np.bincount(row, minlength=rows) + 1 if rows else np.zeros(0, np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.n_lines)]).astype(np.int64)
-        self.begin, self.end = np.empty(self.first[-1], np.int64), np.empty(self.first[-1], np.int64)
-        self.begin[self.first[:-1]], self.end[self.first[1:] - 1] = at[:-1], at[1:]
-        self.begin[np.arange(len(cut)) + row + 1], self.end[np.arange(len(cut)) + row] = cut + 1, cut
+        lines = W.line_spans(self.data, at)
+        self.begin, self.end, self.first, self.n_lines = lines.begin, lines.end, lines.first, np.diff(lines.first)
         words = W.split(self.text, W.LOWER)
         a, b = np.searchsorted(words.starts, self.begin), np.searchsorted(words.starts, self.end) - 1
         full = a <= b
-        chars = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        chars = W.code_points_before(self.data)
         known = np.repeat(np.asarray(self.ids.is_valid(), dtype=bool), self.n_lines)
         at = np.flatnonzero(full & known)
         s, e = words.starts[a[at]], words.ends[b[at]]
@@ -186,8 +180,7 @@ def _drop(min_chars: int):
                 least = blocks.unzip(blocks.answers(rows.as_py(), 0))
                 gone = np.zeros(found.first[-1], dtype=bool)
                 gone[found.chosen] = least[found.keys()[3]] < found.owner
-                sums = np.concatenate([[0], np.cumsum(gone)])
-                dropped = sums[found.first[1:]] - sums[found.first[:-1]]
+                dropped = W.sums_by_row(gone, found.first)
                 texts, lines = [], []
                 for r, text in enumerate(found.text.to_pylist()):
                     a, b, which = found.first[r], found.first[r + 1], []

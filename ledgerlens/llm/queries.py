@@ -169,3 +169,41 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+_OP9 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+sizes AS (SELECT unnest([3, 8, 101]) AS k),
+g AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, sizes WHERE len(w) >= k),
+p AS (SELECT doc_id, k, i, md5(array_to_string(w[i:i + k - 1], ' ')) AS p FROM g),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k, p) AS c FROM p),
+cover AS (SELECT doc_id, k, count(DISTINCT j) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS j FROM r WHERE c > 1 AND k < 100) GROUP BY doc_id, k),
+long AS (SELECT DISTINCT doc_id FROM r WHERE c > 1 AND k = 101),
+b AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(c8.n, 0)::BIGINT AS n_covered_words, long.doc_id IS NOT NULL AS too_long
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN (FROM cover WHERE k = 3) c3 USING (doc_id) LEFT JOIN (FROM cover WHERE k = 8) c8 USING (doc_id) LEFT JOIN long USING (doc_id)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT * EXCLUDE (too_long), NOT base_failed AND 100 * n_covered_words <= 30 * n_words AND NOT too_long AS kept FROM f
+"""
+
+
+@_query(_OP9)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+#: A SentencePiece model file; the driver reads it.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens, load_pieces
+
+    return count_tokens(_read(spark, sf_dir, "documents"), load_pieces(PIECES))

@@ -129,3 +129,36 @@ def grams(words: Words, n: int, base: np.uint64 = _MIX1) -> tuple[np.ndarray, np
         end = np.repeat(words.first[1:], np.diff(words.first))
         inside[: m - n + 1] = np.arange(m - n + 1) + n <= end[: m - n + 1]
     return out, inside
+
+
+@dataclass
+class LineSpans:
+    """Lines of consecutive rows, split at line feeds: begin and end in data, and the first line of each row (one more at the end)."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+
+def line_spans(data: np.ndarray, at: np.ndarray) -> LineSpans:
+    """Each row of offsets at has at least one line."""
+    rows = len(at) - 1
+    cut = np.flatnonzero(data == 10)
+    row = np.searchsorted(at, cut, side="right") - 1
+    counts = np.bincount(row, minlength=rows) + 1 if rows else np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    begin, end = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    begin[first[:-1]], end[first[1:] - 1] = at[:-1], at[1:]
+    begin[np.arange(len(cut)) + row + 1], end[np.arange(len(cut)) + row] = cut + 1, cut
+    return LineSpans(begin, end, first)
+
+
+def sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values between consecutive entries of first."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+def code_points_before(data: np.ndarray) -> np.ndarray:
+    """How many code points begin before each byte (one more at the end)."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
