@@ -207,3 +207,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens, load_pieces
 
     return count_tokens(_read(spark, sf_dir, "documents"), load_pieces(PIECES))
+
+
+@_query()
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train_toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, _read(spark, sf_dir, "labels")))
+
+
+@_query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import score_quality, train_quality
+
+    docs = _read(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _read(spark, sf_dir, "labels")))
