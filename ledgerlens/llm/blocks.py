@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from . import words as W
 
 BLOCK_BYTES = 2 << 20
-PACKED = pa.schema([("id", pa.int64()), ("text", pa.string())])
 ASK = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("answer", pa.binary())])
 ASK_DDL = "block long, shard int, keys binary, extra binary"
@@ -27,7 +26,7 @@ ANSWER_DDL = "block long, kind int, shard int, answer binary"
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, bytes, payload): documents in compressed blocks, which keep their identity once they are written."""
+    """(block, bytes, payload): documents with all their columns in compressed blocks, which keep their identity once they are written."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -38,25 +37,35 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 waiting.append(piece)
                 held += piece.nbytes
                 if held >= BLOCK_BYTES:
-                    yield row(block, waiting)
+                    yield packed(block, waiting)
                     block, waiting, held = block + 1, [], 0
         if waiting:
-            yield row(block, waiting)
+            yield packed(block, waiting)
 
-    def row(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches(parts).cast(PACKED).combine_chunks())
-        return pa.record_batch({"block": pa.array([block], pa.int64()), "bytes": pa.array([sum(p.nbytes for p in parts)], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    row = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("none"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("rest")).mapInArrow(blocks, "block long, bytes long, payload binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(blocks, "block long, bytes long, payload binary")
 
+def rest_type(docs: DataFrame, id_col: str, text_col: str) -> str:
+    """The type of a packed row's other columns, for the schema of results that carry them."""
+    fields = [f for f in docs.schema.fields if f.name not in (id_col, text_col)]
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields) + ">" if fields else "struct<none: int>"
 
-def unpack(payload: bytes) -> tuple[pa.Array, pa.Array]:
-    """The ids and texts of a block.  What earlier blocks have used goes back to the system first."""
+
+def packed(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_batches(parts).combine_chunks())
+    return pa.record_batch({"block": pa.array([block], pa.int64()), "bytes": pa.array([sum(p.nbytes for p in parts)], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def unpack(payload: bytes) -> pa.RecordBatch:
+    """A block's rows: id, text and rest.  What earlier blocks have used goes back to the system first."""
     pa.default_memory_pool().release_unused()
-    table = pa.ipc.open_stream(payload).read_all().combine_chunks()
-    return tuple(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+    with pa.ipc.open_stream(payload) as rows:
+        table = rows.read_all().combine_chunks()
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
 def table(schema: pa.Schema, columns: list) -> pa.RecordBatch:

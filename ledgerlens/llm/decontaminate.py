@@ -98,6 +98,18 @@ class Items:
 
 
 _OUT = pa.schema([("id", pa.int64()), ("item", pa.int64()), *((c, pa.int64()) for c in ("n_match", "n_overlap", "doc_start", "item_start"))])
+_OUT_DDL = "id long, item long, n_match long, n_overlap long, doc_start long, item_start long"
+
+
+def overlaps(items: Items, column: pa.Array, min_overlap: int, min_share: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(row, item) -> matches, length, and the negative starts, of the overlap with most matches."""
+    words, best = normal_words(column), {}
+    for row, item, shift in items.hits(words).tolist():
+        n_match, length, at, start = items.overlap(words.hashes[words.first[row] : words.first[row + 1]], item, shift)
+        need = min(min_overlap, int(items.first[item + 1] - items.first[item]))
+        if length >= need and n_match >= min_share * length:
+            best[row, item] = max(best.get((row, item), (0,)), (n_match, length, -at, -start))
+    return best
 
 
 def _search(shared, min_overlap: int, min_share: float):
@@ -105,14 +117,7 @@ def _search(shared, min_overlap: int, min_share: float):
         items: Items = shared.value
         for batch in batches:
             for piece in W.pieces(batch, "text"):
-                words = normal_words(piece.column("text"))
-                best: dict[tuple[int, int], tuple] = {}
-                for row, item, shift in items.hits(words).tolist():
-                    doc = words.hashes[words.first[row] : words.first[row + 1]]
-                    n_match, length, at, start = items.overlap(doc, item, shift)
-                    need = min(min_overlap, int(items.first[item + 1] - items.first[item]))
-                    if length >= need and n_match >= min_share * length:
-                        best[row, item] = max(best.get((row, item), (0,)), (n_match, length, -at, -start))
+                best = overlaps(items, piece.column("text"), min_overlap, min_share)
                 if best:
                     ids = piece.column("id")
                     rows = [(ids[r].as_py(), items.ids[i], n, length, -at, -start) for (r, i), (n, length, at, start) in best.items()]
@@ -121,25 +126,51 @@ def _search(shared, min_overlap: int, min_share: float):
     return search
 
 
+def _parts(benchmark: DataFrame, item_col: str, item_text_col: str):
+    """The test items in parts of about PART_BYTES, as broadcasts."""
+    spark = benchmark.sparkSession
+    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    parts = -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    for part in range(parts):
+        held = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()  # about PART_BYTES
+        yield spark.sparkContext.broadcast(Items([r.item for r in held], normal_words(pa.array([r.text for r in held], pa.string()))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each document and test item that overlap: id_col, item_col, n_match, n_overlap, doc_start, item_start (in words).
 
     They overlap when a stretch of at least min_overlap words (or the whole item, if shorter) has min_share of its words in common.  The
     stretch with most matches is returned.
 
-    Null and empty texts overlap with nothing.  Rows that repeat an id and a text give one row; a null id is kept as null.  Items that repeat
-    an id count as items of their own and are merged at the end.  Further columns are ignored.
+    Null and empty texts overlap with nothing.  Rows that repeat an id give one row for each item, as do items that repeat an id; a null
+    id is kept as null.  Further columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch.tune(spark)
+    scratch.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    parts = -(-(tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
-    out = spark.createDataFrame([], "id long, item long, n_match long, n_overlap long, doc_start long, item_start long")
-    for part in range(parts):
-        held = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()  # about PART_BYTES
-        shared = spark.sparkContext.broadcast(Items([r.item for r in held], normal_words(pa.array([r.text for r in held], pa.string()))))
-        out = out.unionAll(rows.mapInArrow(_search(shared, min_overlap, min_share), "id long, item long, n_match long, n_overlap long, doc_start long, item_start long"))
+    out = docs.sparkSession.createDataFrame([], _OUT_DDL)
+    for shared in _parts(benchmark, item_col, item_text_col):
+        out = out.unionAll(rows.mapInArrow(_search(shared, min_overlap, min_share), _OUT_DDL))
     best = F.max(F.struct("n_match", "n_overlap", (-F.col("doc_start")).alias("a"), (-F.col("item_start")).alias("b"))).alias("best")
     out = out.groupBy("id", "item").agg(best)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_match", "best.n_overlap", (-F.col("best.a")).alias("doc_start"), (-F.col("best.b")).alias("item_start"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs, with all columns, that overlap with no test item; no row moves between executors."""
+    scratch.tune(docs.sparkSession)
+    for shared in _parts(benchmark, item_col, item_text_col):
+        docs = docs.filter(~_hit(shared, min_overlap, min_share)(F.col(text_col).cast("string")))
+    return docs
+
+
+def _hit(shared, min_overlap: int, min_share: float):
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        found = [np.zeros(0, dtype=bool)]
+        for piece in W.pieces(pa.record_batch([texts], names=["text"]), "text"):
+            flags = np.zeros(piece.num_rows, dtype=bool)
+            flags[[r for r, _ in overlaps(shared.value, piece.column("text"), min_overlap, min_share)]] = True
+            found.append(flags)
+        return pa.array(np.concatenate(found))
+
+    return hit

@@ -37,7 +37,8 @@ class Lines:
     """The lines of a block's documents; chosen: those with a key, which keys, holders and inverse are about."""
 
     def __init__(self, payload: bytes, min_chars: int):
-        self.ids, self.text = blocks.unpack(payload)
+        self.rows = blocks.unpack(payload)
+        self.ids, self.text = self.rows.column("id"), self.rows.column("text")
         self.data, at = W.buffers(self.text)
         lines = W.line_spans(self.data, at)
         self.begin, self.end, self.first, self.n_lines = lines.begin, lines.end, lines.first, np.diff(lines.first)
@@ -168,8 +169,8 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([blocks.table(blocks.ANSWER, [table.column("block").to_pylist(), [0] * m, table.column("shard").to_pylist(), [blocks.zipped(shard.least(k)) for k, _, _ in questions]])])
 
 
-_OUT = pa.schema([("id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("dropped", pa.list_(pa.int32())), ("kept_text", pa.string())])
-_OUT_DDL = "id long, n_lines long, n_dropped long, dropped array<int>, kept_text string"
+def _out(rest: str) -> str:
+    return f"id long, rest {rest}, n_lines long, n_dropped long, dropped array<int>, kept_text string"
 
 
 def _drop(min_chars: int):
@@ -189,7 +190,7 @@ def _drop(min_chars: int):
                         text = b"\n".join(found.data[found.begin[i] : found.end[i]].tobytes() for i in (a + np.flatnonzero(~gone[a:b])).tolist()).decode()
                     texts.append(text or "")
                     lines.append(which)
-                yield blocks.table(_OUT, [found.ids, found.n_lines, dropped, lines, texts])
+                yield pa.record_batch({"id": found.ids, "rest": found.rows.column("rest"), "n_lines": pa.array(found.n_lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "dropped": pa.array(lines, pa.list_(pa.int32())), "kept_text": pa.array(texts, pa.string())})
 
     return drop
 
@@ -197,19 +198,18 @@ def _drop(min_chars: int):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Drop each line whose key, of at least min_chars code points, a document with a smaller id holds too.
 
-    Returns a row for each input row: id_col, n_lines (before), n_dropped, dropped (line numbers from 0) and
-    kept_text (the other lines, joined by a line feed).
+    Returns a row for each input row: id_col, rest (its other columns), n_lines (before), n_dropped, dropped (line numbers
+    from 0) and kept_text (the other lines, joined by a line feed).
 
     A null or empty text is one empty line, which stays.  Rows of one id count as one document: they never drop
     each other's lines, and neither do equal lines within a document.  A row with a null id keeps its lines and holds none.
-    Further columns are ignored.
     """
     scratch.tune(docs.sparkSession)
     packed = scratch.keep(blocks.pack(docs, id_col, text_col), "blocks")
     shards = scratch.shards(packed.agg(F.sum("bytes")).first()[0] or 0, SHARD_BYTES)
     payload = packed.select("block", "payload")
     asked = payload.mapInArrow(_report(min_chars, shards), blocks.ASK_DDL)
-    return blocks.answered(payload, asked.groupBy("shard").applyInArrow(_answer, blocks.ANSWER_DDL)).mapInArrow(_drop(min_chars), _OUT_DDL).withColumnRenamed("id", id_col)
+    return blocks.answered(payload, asked.groupBy("shard").applyInArrow(_answer, blocks.ANSWER_DDL)).mapInArrow(_drop(min_chars), _out(blocks.rest_type(docs, id_col, text_col))).withColumnRenamed("id", id_col)
 
 
 _STATE = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -254,20 +254,17 @@ def _only(batches, wanted: bool):
     """Blocks with only those documents that are (or aren't) listed in column gone."""
     for batch in batches:
         for block, payload, gone in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("gone").to_pylist(), strict=True):
-            ids, text = blocks.unpack(payload.as_py())
+            rows = blocks.unpack(payload.as_py())
+            ids = rows.column("id")
             keep = np.isin(np.asarray(ids.fill_null(0)), np.array(gone or [], np.int64)) & np.asarray(ids.is_valid(), dtype=bool)
-            part = pa.table({"id": ids, "text": text}).filter(pa.array(keep if wanted else ~keep))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, blocks.PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(part.combine_chunks())
-            yield pa.record_batch({"block": pa.array([block], pa.int64()), "bytes": pa.array([part.nbytes], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            yield blocks.packed(block, [rows.filter(pa.array(keep if wanted else ~keep))])
 
 
 class LineIndex:
     """Lines of the documents inserted so far.  Each change writes new tables below the shared scratch folder.
 
     shards is fixed when the index is made; choose it for the size the corpus will reach (about 32 MB of text each).
-    An id may be inserted once; delete() of ids that the index doesn't hold changes nothing.
+    All batches have the columns of the first.  An id may be inserted once; delete() of ids that the index doesn't hold changes nothing.
     """
 
     def __init__(self, spark, shards: int = 64, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text"):
@@ -281,6 +278,7 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> None:
         self.version += 1
+        self.rest = blocks.rest_type(docs, self.id_col, self.text_col)
         more = scratch.keep(blocks.pack(docs, self.id_col, self.text_col).withColumn("block", F.col("block") + F.lit(self.version << 52)), "blocks")
         merged = self.state.groupBy("shard").cogroup(self._asked(more).groupBy("shard")).applyInArrow(_inserted, _STATE_DDL)
         self.state, self.blocks = scratch.keep(merged, "line-shards"), self.blocks.unionAll(more)
@@ -300,13 +298,13 @@ class LineIndex:
         """What dedup_lines() returns, for the documents that the index holds."""
         asked = self._asked(self.blocks)
         answers = self.state.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_looked_up, blocks.ANSWER_DDL)
-        return blocks.answered(self.blocks.select("block", "payload"), answers).mapInArrow(_drop(self.min_chars), _OUT_DDL).withColumnRenamed("id", self.id_col)
+        return blocks.answered(self.blocks.select("block", "payload"), answers).mapInArrow(_drop(self.min_chars), _out(self.rest)).withColumnRenamed("id", self.id_col)
 
 
 def _members(batches):
     for batch in batches:
         for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-            ids, _ = blocks.unpack(payload.as_py())
+            ids = blocks.unpack(payload.as_py()).column("id")
             yield pa.record_batch({"block": pa.array([block] * len(ids), pa.int64()), "id": ids})
 
 

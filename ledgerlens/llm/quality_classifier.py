@@ -21,7 +21,7 @@ from . import words as W
 from .samples import held_out, training_rows
 
 WIDTH, EMBED, FILTERS, HIDDEN, CHUNK = 8, 4, 24, 16, 256
-MOST_ROWS, MOST_CHUNKS, EPOCHS, BATCH, RATE, THRESHOLD = 3_000, 4, 7, 32, 5e-3, 0.7
+MOST_ROWS, MOST_CHUNKS, STEPS, BATCH, RATE, THRESHOLD = 3_000, 4, 700, 32, 5e-3, 0.7
 STRIDE = CHUNK - WIDTH + 1
 
 
@@ -87,13 +87,13 @@ def probabilities(net: Network, column: pa.Array) -> np.ndarray:
     return _sigmoid(np.add.reduceat(logits, first[:-1]) / np.diff(first)) if len(at) > 1 else np.zeros(0)
 
 
-def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 7) -> Network:
     """Adam on the log loss of the rows' probabilities; row: each chunk's row, ascending."""
     net, r = Network.new(seed), np.random.default_rng(seed)
     p = net.parameters()
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     first, step = np.searchsorted(row, np.arange(len(y) + 1)), 0
-    for epoch in range(epochs):
+    while step < steps:
         order = r.permutation(len(y))
         for b in range(0, len(order), BATCH):
             docs = order[b : b + BATCH]
@@ -116,7 +116,7 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, epochs: int = EPOCHS
             d_embed = np.column_stack([np.bincount(flat, d_window[:, e], 256) for e in range(EMBED)])
             grads = [d_embed, d_filters, dt.sum(0), t.T @ dh, dh.sum(0), h.T @ dz, np.array([dz.sum()])]
             step += 1
-            rate = RATE * min(1.0, 2 * (1 - epoch / epochs))
+            rate = RATE * max(0.02, min(1.0, 2 * (1 - step / steps)))
             for k, g in enumerate(grads):
                 g = g + 1e-4 * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -148,22 +148,23 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     return fit(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.asarray(held.column(label), dtype=float))
 
 
+def quality_score(net: Network):
+    """A function of a text column that gives each whole text's probability; a null or empty text counts as one chunk of zero bytes."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.record_batch([texts], names=["text"])
+        return pa.array(np.concatenate([probabilities(net, p.column("text")) for p in W.pieces(batch, "text", 1 << 20)] or [np.zeros(0)]))
+
+    return lambda text: score(text.cast("string"))
+
+
 def score_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score and predicted (1 if score reaches threshold) for each input row.
 
     Whole texts are scored.  A null or empty text is scored as one chunk of zero bytes.  Rows are scored one by one, so repeated
     rows and further columns make no difference; a null id is not held out.
     """
-    spark = docs.sparkSession
-    scratch.tune(spark)
-    shared = spark.sparkContext.broadcast(net)  # a few thousand numbers
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
-
-    def score(batches):
-        for batch in batches:
-            for piece in W.pieces(batch, "text", 1 << 20):
-                yield pa.record_batch([piece.column("id"), pa.array(probabilities(shared.value, piece.column("text")))], schema=schema)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(score, "id long, score double").withColumnRenamed("id", id_col)
+    scratch.tune(docs.sparkSession)
+    out = docs.select(F.col(id_col), quality_score(net)(F.col(text_col)).alias("score"))
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

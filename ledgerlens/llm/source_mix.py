@@ -25,7 +25,7 @@ def target_weights(sources: DataFrame, weights: dict[str, int], default_weight:
     """(source, weight, period) for each distinct source; fails if the weights add up to more than max_period."""
     if default_weight < 1 or any(int(w) < 1 for w in weights.values()):
         raise ValueError("weights are positive integers")
-    known = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else None
+    known = F.create_map(*(F.lit(x) for name, w in weights.items() for x in (f"={name}", int(w)))) if weights else None
     weight = F.coalesce(known[F.col("source")], F.lit(default_weight)) if weights else F.lit(default_weight)
     each = sources.select("source").distinct().withColumn("weight", weight.cast("int"))
     total = each.groupBy().agg(F.sum("weight").alias("period"))
@@ -65,10 +65,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
     new = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "mix_exact"]
     row = docs.select([c for c in docs.columns if c not in new])
     names = row.columns
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # never null
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     groups = max(1, -(-docs.count() // GROUP_ROWS))
     group = F.floor(F.conv(F.substring(F.col("_order"), 1, 8), 16, 10).cast("long") * groups / (1 << 32))
-    keyed = row.select(F.struct(*names).alias("_row"), F.col(source_col).cast("string").alias("source"), order.alias("_order")).withColumn("_group", group)
+    keyed = row.select(F.struct(*names).alias("_row"), source.alias("source"), order.alias("_order")).withColumn("_group", group)
     counts = keyed.groupBy("source", "_group").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("source").alias("_s"), F.col("_group").alias("_g"), F.coalesce(F.sum("_n").over(Win.partitionBy("source").orderBy("_group").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     targets = target_weights(counts, weights, default_weight, max_period)
@@ -76,12 +77,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
     targets = F.broadcast(targets)
 
     def placed(df: DataFrame, block: str) -> DataFrame:
-        df = df.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.weight", "t.period")
-        here = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.pmod(F.col(f"d.{block}"), F.col("d.weight")) == F.col("s.nth"))
+        df = df.alias("d").join(targets.alias("t"), F.col("d.source") == F.col("t.source")).select("d.*", "t.weight", "t.period")
+        here = (F.col("d.source") == F.col("s.source")) & (F.pmod(F.col(f"d.{block}"), F.col("d.weight")) == F.col("s.nth"))
         return df.alias("d").join(slots.alias("s"), here).select("d.*", _slot(F.col(f"d.{block}"), F.col("d.weight"), F.col("d.period"), F.col("s.slot")).alias("mix_slot"))
 
     ranked = keyed.withColumn("_in", F.row_number().over(Win.partitionBy("source", "_group").orderBy("_order", F.xxhash64(F.to_json("_row")))) - 1)
-    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g"))).withColumn("_rank", F.col("_before") + F.col("_in"))
+    ranked = ranked.join(before, (F.col("source") == F.col("_s")) & (F.col("_group") == F.col("_g"))).withColumn("_rank", F.col("_before") + F.col("_in"))
     out = placed(ranked.withColumn("mix_block", F.floor(F.col("_rank") / block_docs)), "mix_block")
     short = placed(counts.groupBy("source").agg(F.floor(F.sum("_n") / block_docs).alias("whole")), "whole").groupBy().agg(F.min("mix_slot").alias("_short"))
     return out.crossJoin(F.broadcast(short)).select(  # one row

@@ -44,7 +44,8 @@ class Block:
     """A block's documents, words and passages."""
 
     def __init__(self, payload: bytes, n: int, k: int):
-        self.ids, self.text = blocks.unpack(payload)
+        self.rows = blocks.unpack(payload)
+        self.ids, self.text = self.rows.column("id"), self.rows.column("text")
         self.words = W.split(self.text)
         known = np.asarray(self.ids.is_valid(), dtype=bool)
         self.doc = np.asarray(self.ids.fill_null(0), dtype=np.int64)
@@ -167,7 +168,6 @@ def _answer_passages(table: pa.Table) -> pa.Table:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", _SPAN), ("kept_text", pa.string())])
 
 
 def _remove(n: int, k: int, shards: int):
@@ -203,17 +203,17 @@ def _results(found: Block, covered: np.ndarray) -> Iterator[pa.RecordBatch]:
             parts = [parts[i] for i in np.flatnonzero(~here)]
         texts.append(b" ".join(parts).decode())
         spans.append(gone)
-    yield pa.record_batch([found.ids, pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPAN), pa.array(texts, pa.string())], schema=_OUT)
+    yield pa.record_batch({"id": found.ids, "rest": found.rows.column("rest"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed": pa.array(spans, _SPAN), "kept_text": pa.array(texts, pa.string())})
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Remove from each document every word of a passage of min_words words that also starts in a document with a smaller id.
 
-    Returns a row for each input row: id_col, n_words, n_removed, removed (the maximal repeats, as word spans) and
-    kept_text (the other words, joined by one space).  Words are what white space separates, unchanged.
+    Returns a row for each input row: id_col, rest (its other columns), n_words, n_removed, removed (the maximal repeats, as word
+    spans) and kept_text (the other words, joined by one space).  Words are what white space separates, unchanged.
 
     A null or empty text has no words.  Rows of one id count as one document, so they never remove from each other.
-    A row with a null id keeps all its words and is no source for others.  Further columns are ignored.
+    A row with a null id keeps all its words and is no source for others.
     """
     if not 1 <= seed_words <= min_words:
         raise ValueError("seed_words must lie between 1 and min_words")
@@ -225,5 +225,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     payload = packed.select("block", "payload")
     shared = payload.mapInArrow(_ask_anchors(n, k, shards), blocks.ASK_DDL).groupBy("shard").applyInArrow(_answer_anchors, blocks.ANSWER_DDL)
     least = blocks.answered(payload, shared).mapInArrow(_ask_passages(n, k, shards), blocks.ASK_DDL).groupBy("shard").applyInArrow(_answer_passages, blocks.ANSWER_DDL)
-    out = blocks.answered(payload, shared.unionAll(least)).mapInArrow(_remove(n, k, shards), "id long, n_words long, n_removed long, removed array<struct<start: int, length: int>>, kept_text string")
+    out = blocks.answered(payload, shared.unionAll(least)).mapInArrow(_remove(n, k, shards), f"id long, rest {blocks.rest_type(docs, id_col, text_col)}, n_words long, n_removed long, removed array<struct<start: int, length: int>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
