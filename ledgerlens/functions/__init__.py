@@ -1,0 +1 @@
+"""Column expressions with fixed null, NaN and division rules."""

@@ -1,0 +1 @@
+"""Readers, writers, and the adapters that turn the driver's tables into transactions."""

@@ -1,0 +1 @@
+"""No streaming operators: every operator of this library is a batch operator over a bounded event log."""
