@@ -89,7 +89,8 @@ def fit_ensemble(train: DataFrame, val: DataFrame | None, columns: list[str], se
             rows = rows.withColumn("_weight", F.when(F.col("target") == 1, F.lit((n["n"] - n["p"]) / max(n["p"], 1))).otherwise(1.0))
             model = model.setWeightCol("_weight")
         if val is not None:
-            rows = rows.unionByName(assemble(val, columns).withColumn("_val", F.lit(True)), allowMissingColumns=True)
+            held = assemble(val, columns).withColumn("_val", F.lit(True))
+            rows = rows.unionByName(held.withColumn("_weight", F.lit(1.0)) if ratio is None else held, allowMissingColumns=True)
             model = model.setValidationIndicatorCol("_val")
         rows = rows.persist()
         boosted.append(model.fit(rows))
