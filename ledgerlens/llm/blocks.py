@@ -1,6 +1,6 @@
 """Blocks of documents that ask shards of hash space, and the answers they get back.
 
-Documents are packed into compressed blocks of about 2 MB of text.  Each block sends a shard
+Documents are packed into compressed blocks of about 1 MB of text.  Each block sends a shard
 one sorted array of distinct keys (a question), however many of its documents hold
 a key; the shard sees the questions of all blocks and returns an array aligned
 with each question.  A key held by a third of all rows therefore costs one entry
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 ASK = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("answer", pa.binary())])
 ASK_DDL = "block long, shard int, keys binary, extra binary"
@@ -62,7 +62,7 @@ def packed(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def unpack(payload: bytes) -> pa.RecordBatch:
     """A block's rows: id, text and rest.  What earlier blocks have used goes back to the system first."""
-    pa.default_memory_pool().release_unused()
+    W.release()
     with pa.ipc.open_stream(payload) as rows:
         table = rows.read_all().combine_chunks()
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)

@@ -27,7 +27,7 @@ from . import blocks, scratch
 from . import words as W
 from .cuckoo import CuckooFilter
 
-MIN_CHARS, SHARD_BYTES = 10, 32 << 20
+MIN_CHARS, SHARD_BYTES = 10, 16 << 20
 _SECOND = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND[65:91] = _SECOND[97:123]
 _KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
@@ -263,7 +263,7 @@ def _only(batches, wanted: bool):
 class LineIndex:
     """Lines of the documents inserted so far.  Each change writes new tables below the shared scratch folder.
 
-    shards is fixed when the index is made; choose it for the size the corpus will reach (about 32 MB of text each).
+    shards is fixed when the index is made; choose it for the size the corpus will reach (about 16 MB of text each).
     All batches have the columns of the first.  An id may be inserted once; delete() of ids that the index doesn't hold changes nothing.
     """
 

@@ -131,7 +131,7 @@ _CHUNKS = pa.schema([("id", pa.int64()), ("chunks", pa.binary())])
 def _sampled(batches):
     """At most MOST_CHUNKS chunks of each row, evenly spread."""
     for batch in batches:
-        for piece in W.pieces(batch, "text", 2 << 20):
+        for piece in W.pieces(batch, "text"):
             chunks, first = chunked(*W.buffers(piece.column("text")))
             picked = [chunks[np.unique(np.linspace(a, b - 1, MOST_CHUNKS).astype(np.int64))].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([piece.column("id"), pa.array(picked, pa.binary())], schema=_CHUNKS)
@@ -154,7 +154,7 @@ def quality_score(net: Network):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         batch = pa.record_batch([texts], names=["text"])
-        return pa.array(np.concatenate([probabilities(net, p.column("text")) for p in W.pieces(batch, "text", 1 << 20)] or [np.zeros(0)]))
+        return pa.array(np.concatenate([probabilities(net, p.column("text")) for p in W.pieces(batch, "text")] or [np.zeros(0)]))
 
     return lambda text: score(text.cast("string"))
 

@@ -10,11 +10,14 @@ missing (unit tests in local mode) a folder of the driver is used.
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_FILE = 200_000
 _kept: list[str] = []
 
 
@@ -28,10 +31,12 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the scratch folder and return it as read from there."""
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the scratch folder and return it as read from there.  rows, if known, bounds its rows: a small table gets few files."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS_PER_FILE))
     df.write.parquet(path)
     _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,9 +52,13 @@ def release(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the batches between the JVM and Python by bytes too: texts and blocks can be long."""
+    """Bound the batches between the JVM and Python by bytes too, as texts and blocks can be long, and let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [*environment.get("PYTHONPATH", "").split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, environment.get("PYTHONPATH", "").split(os.pathsep))])
 
 
 def shards(total: int, each: int) -> int:

@@ -14,7 +14,7 @@ have equal anchors, so
    their words are removed.
 
 No pair of documents is ever formed.  Documents are packed into blocks of about
-2 MB of text; a block asks each key once however many of its documents hold it,
+1 MB of text; a block asks each key once however many of its documents hold it,
 and sends sorted keys to shards of hash space.  A shard answers with an array
 aligned with the question (one bit an anchor, one id a passage), so a passage
 held by a third of all documents costs one key per block.  Shards grow in number

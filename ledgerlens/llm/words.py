@@ -9,6 +9,7 @@ code point.  A null row has no words.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 _BASE, _MIX1, _MIX2 = U64(0x9E3779B97F4A7C15 | 1), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -81,22 +83,39 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def release() -> None:
+    """Give freed memory back to the system: several workers share an executor's memory, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about `most` bytes of text each; one row is never split."""
     _, at = buffers(batch.column(column))
     row = 0
     while row < len(at) - 1:
+        release()
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
         yield batch.slice(row, end - row)
         row = end
-
-
-def hash_spans(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * powers(_BASE, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_BASE_INVERSE, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _MIX2)
+    release()
+
+
+def hash_spans(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; starts ascend.  Works on stretches of data, so tables and sums stay small and in the cache."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, low + stretch)))
+        s, e = starts[i:j] - low, ends[i:j] - low
+        size = int(e.max())
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(values[data[low : low + size]] * powers(_BASE, size), out=sums[1:])
+        out[i:j] = (sums[e] - sums[s]) * powers(_BASE_INVERSE, size + 1)[s]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * _MIX2)
 
 
 def split(column: pa.Array, classes: tuple[np.ndarray, np.ndarray] = PLAIN) -> Words:
