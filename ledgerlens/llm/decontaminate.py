@@ -5,7 +5,7 @@ mask picks the word positions of a window that count; the others are ignored, so
 picked words survives substitutions at the ignored ones.  With several masks of different
 shapes few patterns of substitutions escape them all.  Test hashes are joined with the hashes of
 all windows of all documents.  Around each hit, document and test item are laid over
-each other, and the best-scoring stretch (a match counts 1, a substitution -2) is the overlap.
+each other, and the longest stretch with few enough substitutions is the overlap.
 
 The test side goes to every executor in parts of bounded size: a test set beyond
 ``PART_BYTES`` is searched part by part, each over all documents.
@@ -85,15 +85,17 @@ class Items:
             found.append(np.stack([rows[at], item[which], at - words.first[rows[at]] - position[which]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
-    def overlap(self, doc: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int]:
-        """Matches, length, start in the document and start in the item of the best-scoring stretch."""
+    def overlap(self, doc: np.ndarray, item: int, shift: int, percent: int) -> tuple[int, int, int, int]:
+        """Matches, length, start in the document and start in the item of the longest stretch that begins and ends with a match and has percent matches."""
         other = self.hashes[self.first[item] : self.first[item + 1]]
         a, b = max(0, -shift), min(len(other), len(doc) - shift)
         same = doc[a + shift : b + shift] == other[a:b]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        start = int(np.flatnonzero(total[: end + 1] == low[end])[0])
+        total = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
+        lowest = np.minimum.accumulate(np.where(same, total[:-1], np.iinfo(np.int64).max))
+        ends = np.flatnonzero(same) + 1
+        starts = np.searchsorted(-lowest, -total[ends])  # the first place that is no higher than the end
+        best = int(np.argmax(ends - starts))
+        start, end = int(starts[best]), int(ends[best])
         return int(same[start:end].sum()), end - start, a + start + shift, a + start
 
 
@@ -105,9 +107,9 @@ def overlaps(items: Items, column: pa.Array, min_overlap: int, min_share: float)
     """(row, item) -> matches, length, and the negative starts, of the overlap with most matches."""
     words, best = normal_words(column), {}
     for row, item, shift in items.hits(words).tolist():
-        n_match, length, at, start = items.overlap(words.hashes[words.first[row] : words.first[row + 1]], item, shift)
+        n_match, length, at, start = items.overlap(words.hashes[words.first[row] : words.first[row + 1]], item, shift, round(100 * min_share))
         need = min(min_overlap, int(items.first[item + 1] - items.first[item]))
-        if length >= need and n_match >= min_share * length:
+        if length >= need:
             best[row, item] = max(best.get((row, item), (0,)), (n_match, length, -at, -start))
     return best
 
@@ -139,8 +141,8 @@ def _parts(benchmark: DataFrame, item_col: str, item_text_col: str):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each document and test item that overlap: id_col, item_col, n_match, n_overlap, doc_start, item_start (in words).
 
-    They overlap when a stretch of at least min_overlap words (or the whole item, if shorter) has min_share of its words in common.  The
-    stretch with most matches is returned.
+    They overlap when a stretch of at least min_overlap words (or the whole item, if shorter) begins and ends with a common word and
+    has min_share (in whole percent) of its words in common.  The stretch with most matches is returned.
 
     Null and empty texts overlap with nothing.  Rows that repeat an id give one row for each item, as do items that repeat an id; a null
     id is kept as null.  Further columns are ignored.
