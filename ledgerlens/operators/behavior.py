@@ -18,6 +18,7 @@ LOG_COUNTS = {"event_desc": "event_desc", "mcc": "mcc_code", "pos_cd": "pos_cd"}
 NEEDS = [
     ("n",),
     ("minutes",),
+    ("gap_mean_3",),
     *(("n", k) for k in LOG_COUNTS.values()),
     *(("max", *k) for k in MAXIMA.values()),
     *((f"lag{n}:{c}",) for c in LAGGED.values() for n in range(1, 6)),
@@ -28,7 +29,7 @@ NEEDS = [
 def behavior_features(df: DataFrame) -> DataFrame:
     """58 columns; needs transaction_features()."""
     df = with_history(df, NEEDS).withColumns({"tx_count_lifetime": h("n"), "time_since_last_tx_minutes": h("minutes")})
-    gap, near = F.col("time_since_last_tx_minutes"), X.rows(-2, 0)
+    gap = F.col("time_since_last_tx_minutes")
     share = lambda key: X.nz(X.fdiv(seen(key), F.col("tx_count_lifetime")), 0.0)
     return df.withColumns(
         {
@@ -44,7 +45,7 @@ def behavior_features(df: DataFrame) -> DataFrame:
             "pos_cd_transaction_share_user": share("pos_cd"),
             "event_desc_share_user": share("event_desc"),
             "merchant_switch_flag": changed("mcc_code"),
-            "time_since_last_3_tx_mean": F.when(F.count(gap).over(near) == 3, F.avg(gap).over(near)),
+            "time_since_last_3_tx_mean": h("gap_mean_3"),
             "mcc_frequency_user": seen("mcc_code"),
             "prev_1_op_timediff": gap,
             **{f"prev_{n}_op_{short}": X.nz(h(f"lag{n}:{c}"), -1) for short, c in LAGGED.items() for n in range(1, 6)},

@@ -69,7 +69,8 @@ def global_scores(df: DataFrame, stats: Stats | None) -> DataFrame:
 def target_encodings(df: DataFrame, stats: Stats | None) -> DataFrame:
     """Smoothed rates; a value without a label gets the global rate, or 0.5 without labels."""
     rate = "global_fraud_rate"
-    df = df.crossJoin(F.broadcast(stats[rate])) if stats and rate in stats else df.withColumn(rate, F.lit(0.5))  # one row
+    if rate not in df.columns:
+        df = df.crossJoin(F.broadcast(stats[rate])) if stats and rate in stats else df.withColumn(rate, F.lit(0.5))  # one row
     for table, (keys, out) in ENCODINGS.items():
         df = look_up(df, stats[table], keys).withColumn(out, F.coalesce(out, rate)) if stats and table in stats else df.withColumn(out, F.col(rate))
     return df.drop(rate)

@@ -46,8 +46,9 @@ def window_metrics(period: str) -> dict[str, Column]:
 
 
 def with_windows(df: DataFrame, periods: Iterable[str] = tuple(X.PERIODS)) -> DataFrame:
-    """14 columns for each period."""
-    return df.withColumns({k: c for p in periods for k, c in window_metrics(p).items()})
+    """14 columns for each period; periods that df has already stay."""
+    new = {k: c for p in periods if f"tx_count_{p}" not in df.columns for k, c in window_metrics(p).items()}
+    return df.withColumns(new) if new else df
 
 
 def rolling_features(df: DataFrame) -> DataFrame:

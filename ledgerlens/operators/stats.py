@@ -119,5 +119,18 @@ def compute_stats(tx: DataFrame, labels: DataFrame | None = None, alpha: float =
 
 
 def look_up(df: DataFrame, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Left join; null keys match nothing."""
-    return df.join(table, list(keys), "left")
+    """Left join; null keys match nothing.  A table whose columns df has already is not joined again."""
+    return df if set(table.columns) <= set(df.columns) else df.join(table, list(keys), "left")
+
+
+def with_lookups(df: DataFrame, stats: Stats | None) -> DataFrame:
+    """df with the columns of all tables.  Best called while rows are narrow: the joins then run in one generated stage."""
+    if stats is None:
+        return df
+    keys = {t: k for t, (k, _) in (COUNTS | ENCODINGS).items()} | {t: (k,) for t, (k, _) in AMOUNTS.items()}
+    for table, on in keys.items():
+        if table in stats:
+            df = look_up(df, stats[table], on)
+    if "global_fraud_rate" in stats and "global_fraud_rate" not in df.columns:
+        df = df.crossJoin(F.broadcast(stats["global_fraud_rate"]))  # one row
+    return df

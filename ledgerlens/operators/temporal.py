@@ -12,7 +12,7 @@ from .stats import COUNTS, Stats, look_up
 
 FREQUENCIES = {t: v for t, v in COUNTS.items() if t not in ("combination_global", "subchannel_global")}
 GIVEN = {"channel": "channel_indicator_type", "mcc": "mcc_code", "device": "operating_system_type"}
-NEEDS = [*(("n", k) for (k,), _ in FREQUENCIES.values()), ("n",), ("hours",), ("lag1:channel_indicator_type",), *(("mean", k) for k in GIVEN.values())]
+NEEDS = [*(("n", k) for (k,), _ in FREQUENCIES.values()), ("n",), ("hours",), ("gap_std_90",), ("gap_mean_90",), ("gap_min_10",), ("hour_std_90",), ("lag1:channel_indicator_type",), *(("mean", k) for k in GIVEN.values())]
 
 
 def temporal_features(df: DataFrame, stats: Stats | None = None) -> DataFrame:
@@ -20,26 +20,24 @@ def temporal_features(df: DataFrame, stats: Stats | None = None) -> DataFrame:
     df = with_history(df, NEEDS)
     for table, (keys, out) in FREQUENCIES.items():
         df = look_up(df, stats[table], keys) if stats and table in stats else df.withColumn(out, seen(keys[0]))
-    c, gap, hour = F.col, F.col("time_since_last_tx_minutes"), F.col("hour_of_day")
-    long, short = X.rows(-90, -1), X.rows(-10, -1)
-    past = lambda agg, x, least: X.nz(F.when(F.count(x).over(long) >= least, agg(x).over(long)), 0.0)
-    std, mean = past(F.stddev_samp, gap, 2), past(F.avg, gap, 2)
-    df = df.withColumns({"time_gap_variance_30d": std, "time_gap_mean_30d": mean})
+    c, hour = F.col, F.col("hour_of_day")
     return df.withColumns(
         {
+            "time_gap_variance_30d": h("gap_std_90"),
+            "time_gap_mean_30d": h("gap_mean_90"),
             "circadian_deviation_score": F.abs(hour - h("hours") / X.at_least("tx_count_lifetime", 1)),
             "channel_shift_score": changed("channel_indicator_type"),
             "velocity_change_flag": X.sure(c("tx_count_1d") > c("avg_tx_per_day_30d") * 2),
-            "time_gap_min_10tx": X.nz(F.min(gap).over(short), 0),
+            "time_gap_min_10tx": h("gap_min_10"),
             "new_device_flag": c("operating_system_is_new"),
             "new_mcc_flag": c("mcc_is_new_for_user"),
             "new_channel_flag": is_new("channel_indicator_type"),
             "merchant_entropy_user": X.nz(X.fdiv("mcc_freq_user_cum", "tx_count_lifetime"), 0.0),
-            "time_gap_cv_30d": c("time_gap_variance_30d") / (c("time_gap_mean_30d") + F.lit(X.EPS)),
+            "time_gap_cv_30d": h("gap_std_90") / (h("gap_mean_90") + F.lit(X.EPS)),
             "browser_language_mismatch": X.sure(c("accept_language") != c("browser_language")),
             "new_device_and_night_flag": X.sure((c("is_night") == 1) & (c("operating_system_is_new") == 1)),
             "rdp_and_large_amount_flag": X.sure((c("web_rdp_connection_flag") == 1) & (c("amount_clean") > 1000)),
             **{f"amount_zscore_given_{short}": h("mean", key) for short, key in GIVEN.items()},
-            "tx_time_zscore_given_user": past(F.stddev_samp, hour, 2),
+            "tx_time_zscore_given_user": h("hour_std_90"),
         }
     )

@@ -7,19 +7,21 @@ from pyspark.sql import DataFrame
 from ledgerlens.functions import expr as X
 from ledgerlens.operators import behavior, category, device, rolling, temporal, transaction, zscore
 from ledgerlens.operators.history import with_history
-from ledgerlens.operators.stats import Stats
+from ledgerlens.operators.stats import Stats, with_lookups
 
 
 def build_features(tx: DataFrame, stats: Stats | None = None, partitions: int | None = None) -> DataFrame:
     """tx with all features.
 
     The transactions are hash-partitioned by customer once; all windows, whatever further keys they have, run on that
-    partitioning.  The primitives of all sections are asked for together, so equal windows are evaluated once.
+    partitioning.  Lookups come first and then all windows, those that need a sort of their own before the customer's own; what is
+    left is arithmetic.
     """
     df = transaction.transaction_features(tx)
     df = df.repartition(partitions, "customer_id") if partitions else df.repartition("customer_id")
-    needs = dict.fromkeys(n for m in (behavior, rolling, device, temporal, zscore, category) for n in m.NEEDS)
-    df = with_history(df, needs)
+    df = with_lookups(df, stats)
+    df = with_history(df, [n for m in (behavior, rolling, device, temporal, zscore, category) for n in m.NEEDS])
+    df = rolling.with_windows(df)
     df = behavior.behavior_features(df)
     df = rolling.rolling_features(df)
     df = device.device_features(df)
