@@ -20,3 +20,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def fmt_seconds(seconds: float) -> str:
+    """A duration as h:mm:ss, or m:ss below an hour."""
+    whole = int(round(seconds))
+    hours, rest = divmod(whole, 3600)
+    return f"{hours}:{rest // 60:02d}:{rest % 60:02d}" if hours else f"{rest // 60}:{rest % 60:02d}"

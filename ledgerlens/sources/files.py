@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +38,29 @@ def union_history(parts: Sequence[tuple[DataFrame, int]], session_type: str = "l
     if out is None:
         raise ValueError("no tables to unite")
     return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def archive(spark: SparkSession, folder: str) -> str | None:
+    """Rename an existing folder to <folder>_ver_<N>, N the first free number; returns the new name, or None if there is nothing."""
+    files, old = _file_system(spark, folder)
+    if not files.exists(old):
+        return None
+    n = 1
+    while files.exists(_file_system(spark, f"{folder}_ver_{n}")[1]):
+        n += 1
+    files.rename(old, _file_system(spark, f"{folder}_ver_{n}")[1])
+    return f"{folder}_ver_{n}"
+
+
+def cached(spark: SparkSession, path: str, meta: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path if it was built with the same meta text, else build() written there with it."""
+    files, note = _file_system(spark, f"{path}/_META")
+    if not (files.exists(note) and spark.read.text(f"{path}/_META").first()[0] == meta):
+        write_parquet(build(), f"{path}/data")
+        spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_META")
+    return spark.read.parquet(f"{path}/data")

@@ -137,3 +137,40 @@ def test_profiles(spark):
     assert shares == {1: (0.5, 0.0, 0.5), 2: (0.0, 1.0, 0.0), None: (0.0, 1.0, 0.0)}
     top = profile.top_rates(profile.pair_stats(rows, known), 1, 1, by="tx_type_group").collect()
     assert sorted((r.tx_type_group, r.event_desc) for r in top) == [(0, 1), (1, 2), (2, 1)]
+
+
+def test_training_from_end_to_end(spark):
+    from ledgerlens.plans.training import train_baseline
+    from ledgerlens.sources import adapters
+
+    raw = adapters.events(spark, "/root/testdata/sf0.01")
+    from ledgerlens.operators.transaction import transaction_features
+
+    features = transaction_features(adapters.transactions(raw)).drop("_us", "amount_clean")
+    out = train_baseline(features, adapters.event_labels(raw), adapters.CUTOFF, adapters.END, seeds=(42,), rounds=3, depth=4)
+    assert sorted(out.routed.ensembles) == [0, 1, 2, 3] and all(0 < p <= 1 for p in out.precision.values())
+    assert out.precision[None] > 0.35  # the share of positives is 0.2
+    assert tuple(metrics.duplicate_check(out.submission).first()) == (1661, 1661, 0)
+    with pytest.raises(ValueError, match="has no rows"):
+        train_baseline(features, adapters.event_labels(raw), "2023-01-01", "2023-01-02")
+
+
+def test_archive_and_cache(spark, tmp_path):
+    folder = tmp_path / "models"
+    assert files.archive(spark, str(folder)) is None
+    for n in (1, 2):
+        folder.mkdir()
+        assert files.archive(spark, str(folder)) == f"{folder}_ver_{n}"
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    assert [files.cached(spark, str(tmp_path / "c"), meta, build).count() for meta in ("a", "a", "b")] == [1, 1, 2]
+
+
+def test_durations():
+    from ledgerlens.session import fmt_seconds
+
+    assert [fmt_seconds(s) for s in (0, 61, 3599.6, 7325)] == ["0:00", "1:01", "1:00:00", "2:02:05"]
