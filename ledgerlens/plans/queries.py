@@ -12,7 +12,7 @@ from ledgerlens.functions import expr as X
 from ledgerlens.operators import behavior, category, dataset, device, materialize, metrics, models, profile, rolling, stats, temporal, transaction, zscore
 from ledgerlens.operators.history import with_history
 from ledgerlens.plans import oracle as O
-from ledgerlens.plans.features import build_features, engineered
+from ledgerlens.plans.features import build_features, by_customer, engineered
 from ledgerlens.sources import adapters, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +74,8 @@ def _features(name: str, columns: list[str], upto: str, with_stats: bool = False
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = Data(spark, sf_dir)
-        df, found = data.base(), stats.compute_stats(data.tx, data.labels) if with_stats else None
-        df = df.repartition("customer_id")
+        found = stats.compute_stats(data.tx, data.labels) if with_stats else None
+        df = stats.with_lookups(by_customer(data.base()), found)
         for letter, step in steps:
             if letter <= upto:
                 df = step(df, found) if letter in "FGH" else step(df)
