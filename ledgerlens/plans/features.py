@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.functions import expr as X
 from ledgerlens.operators import behavior, category, device, rolling, temporal, transaction, zscore
 from ledgerlens.operators.history import with_history
 from ledgerlens.operators.stats import Stats, with_lookups
 
+KEYS_AT_ONCE = 6
+
 
 def by_customer(tx: DataFrame, partitions: int | None = None) -> DataFrame:
     """Hash-partitioned by customer, into spark.sql.shuffle.partitions parts unless told otherwise.
@@ -19,6 +22,30 @@ def by_customer(tx: DataFrame, partitions: int | None = None) -> DataFrame:
     return tx.repartition(partitions or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), "customer_id")
 
 
+def with_all_windows(df: DataFrame) -> DataFrame:
+    """df with the window primitives and time windows of all sections.
+
+    Each window operator copies its rows field by field, so what a window doesn't read travels in structs, which are copied whole: the
+    other columns, and the results of every few windows.
+    """
+    needs = list(dict.fromkeys(n for m in (behavior, rolling, device, temporal, zscore, category) for n in m.NEEDS))
+    keys = list(dict.fromkeys(tuple(n[1:]) for n in needs if len(n) > 1))
+    read = {"customer_id", "event_id", X.US, "amount_clean", "hour_of_day", *rolling.SPENDS.values(), *rolling.DIVERSITY.values()}
+    read |= {k for key in keys for k in key} | {kind.split(":")[1] for kind, *_ in needs if ":" in kind}
+    bare, structs = [c for c in df.columns if c in read], []
+
+    def pack(df: DataFrame) -> DataFrame:
+        structs.append(f"_struct_{len(structs)}")
+        rest = [c for c in df.columns if c not in bare and c not in structs]
+        return df.select(*bare, *structs[:-1], F.struct(*rest).alias(structs[-1]))
+
+    df = pack(df)
+    for i in range(0, len(keys), KEYS_AT_ONCE):
+        df = pack(with_history(df, [n for n in needs if tuple(n[1:]) in keys[i : i + KEYS_AT_ONCE]]))
+    df = rolling.with_windows(with_history(df, [n for n in needs if len(n) == 1]))
+    return df.select(*(f"{c}.*" if c in structs else c for c in df.columns))
+
+
 def build_features(tx: DataFrame, stats: Stats | None = None, partitions: int | None = None) -> DataFrame:
     """tx with all features.
 
@@ -28,9 +55,7 @@ def build_features(tx: DataFrame, stats: Stats | None = None, partitions: int |
     """
     df = transaction.transaction_features(tx)
     df = by_customer(df, partitions)
-    df = with_lookups(df, stats)
-    df = with_history(df, [n for m in (behavior, rolling, device, temporal, zscore, category) for n in m.NEEDS])
-    df = rolling.with_windows(df)
+    df = with_all_windows(with_lookups(df, stats))
     df = behavior.behavior_features(df)
     df = rolling.rolling_features(df)
     df = device.device_features(df)
@@ -38,7 +63,8 @@ def build_features(tx: DataFrame, stats: Stats | None = None, partitions: int |
     df = zscore.zscore_features(df, stats)
     df = category.category_features(df, stats)
     df = transaction.risk_features(df)
-    return df.drop("amount_clean", *(c for c in df.columns if c.startswith("_")))
+    added = [c for c in df.columns if c not in tx.columns and c != "amount_clean" and not c.startswith("_")]
+    return df.select(*tx.columns, *added)
 
 
 def engineered(tx: DataFrame, built: DataFrame) -> list[str]:
