@@ -75,7 +75,7 @@ def _features(name: str, columns: list[str], upto: str, with_stats: bool = False
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = Data(spark, sf_dir)
         found = stats.compute_stats(data.tx, data.labels) if with_stats else None
-        df = stats.with_lookups(by_customer(data.base()), found)
+        df = by_customer(data.base())
         for letter, step in steps:
             if letter <= upto:
                 df = step(df, found) if letter in "FGH" else step(df)
