@@ -2,8 +2,9 @@
 
 Texts are compared as words: lower case, split at everything in ASCII that is no letter or digit.  A
 mask picks the word positions of a window that count; the others are ignored, so a hash of the
-picked words survives substitutions at the ignored ones.  With several masks of different
-shapes few patterns of substitutions escape them all.  Test hashes are joined with the hashes of
+picked words survives substitutions at the ignored ones.  The masks are chosen so that every stretch of
+13 words or more, 80 % of them in common, has a window that one of them picks in common words only, and
+shorter items have masks that do the same for the whole item.  Test hashes are joined with the hashes of
 all windows of all documents.  Around each hit, document and test item are laid over
 each other, and the longest stretch with few enough substitutions is the overlap.
 
@@ -13,6 +14,8 @@ The test side goes to every executor in parts of bounded size: a test set beyond
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +26,7 @@ from . import scratch
 from . import words as W
 
 #: 1: the word counts; 0: it is ignored.
-MASKS = ("1111111", "11011011011", "1010110011101", "1110010111", "110100110101")
+MASKS = ("1111111", "11011011011", "1010110011101", "1110010111", "110100110101", "1100010100111", "11101100011", "111011011")
 MIN_OVERLAP, MIN_SHARE, LEAST_WORDS = 13, 0.8, 5
 PART_BYTES = 16 << 20
 CLASSES = W.byte_classes(bytes(b for b in range(128) if not chr(b).isalnum()), lower=True)
@@ -33,6 +36,17 @@ def normal_words(column: pa.Array) -> W.Words:
     return W.split(pc.utf8_lower(column), CLASSES)
 
 
+def own_masks(n: int) -> list[str]:
+    """Masks for the whole of an item of n < MIN_OVERLAP words.
+
+    MIN_SHARE allows k = n // 5 substitutions, none at the ends: of k + 2 groups of the inner words at least two have none, so one of the masks
+    that leave out k groups picks common words only.
+    """
+    k = n // 5
+    groups = np.array_split(np.arange(1, n - 1), k + 2)
+    return ["".join("0" if any(j in groups[g] for g in out) else "1" for j in range(n)) for out in combinations(range(k + 2), k)]
+
+
 def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each window's picked words; windows are as long as the mask."""
     n = len(hashes) - len(mask) + 1
@@ -46,16 +60,16 @@ def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """Test items' words, and for each mask the sorted hashes of their windows with item and position.
 
-    An item shorter than min_overlap words must be found whole; one shorter than the first mask has a mask of its own length, and one of fewer than
-    LEAST_WORDS words, which any text may hold by chance, is never found.
+    An item shorter than MIN_OVERLAP words must be found whole and has masks of its own length; one of fewer than LEAST_WORDS words, which any
+    text may hold by chance, is never found.
     """
 
     def __init__(self, ids: list, words: W.Words):
         self.ids, self.hashes, self.first = ids, words.hashes, words.first
         sizes = np.diff(words.first)
         self.seeds = []
-        own = [("1" * n, np.flatnonzero(sizes == n)) for n in range(LEAST_WORDS, len(MASKS[0]))]
-        for mask, items in [(m, np.flatnonzero(sizes >= len(m))) for m in MASKS] + own:
+        own = [(m, np.flatnonzero(sizes == n)) for n in range(LEAST_WORDS, MIN_OVERLAP) for m in own_masks(n)]
+        for mask, items in [(m, np.flatnonzero(sizes >= MIN_OVERLAP)) for m in MASKS] + own:
             if not len(items):
                 continue
             counts = sizes[items] - len(mask) + 1
@@ -85,6 +99,23 @@ class Items:
             found.append(np.stack([rows[at], item[which], at - words.first[rows[at]] - position[which]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
+    def likely(self, words: W.Words, hits: np.ndarray, min_overlap: int, percent: int) -> np.ndarray:
+        """The hits whose whole alignment has as many matches as the shortest overlap needs."""
+        if not len(hits):
+            return hits
+        row, item, shift = hits.T
+        sizes = np.diff(self.first)[item]
+        a, b = np.maximum(0, -shift), np.minimum(sizes, np.diff(words.first)[row] - shift)
+        need = np.minimum(min_overlap, sizes)
+        ends, matches = np.cumsum(b - a), np.zeros(len(hits), np.int64)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)))  # about a million words at a time
+        for x, y in zip(cuts, [*cuts[1:], len(hits)], strict=True):
+            n = (b - a)[x:y]
+            k = np.arange(n.sum()) + np.repeat(a[x:y] - np.cumsum(n) + n, n)
+            same = words.hashes[k + np.repeat((words.first[row] + shift)[x:y], n)] == self.hashes[k + np.repeat(self.first[item][x:y], n)]
+            matches[x:y] = np.add.reduceat(same, np.cumsum(n) - n, dtype=np.int64)
+        return hits[100 * matches >= percent * need]
+
     def overlap(self, doc: np.ndarray, item: int, shift: int, percent: int) -> tuple[int, int, int, int]:
         """Matches, length, start in the document and start in the item of the longest stretch that begins and ends with a match and has percent matches."""
         other = self.hashes[self.first[item] : self.first[item + 1]]
@@ -105,9 +136,9 @@ _OUT_DDL = "id long, item long, n_match long, n_overlap long, doc_start long, it
 
 def overlaps(items: Items, column: pa.Array, min_overlap: int, min_share: float) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """(row, item) -> matches, length, and the negative starts, of the overlap with most matches."""
-    words, best = normal_words(column), {}
-    for row, item, shift in items.hits(words).tolist():
-        n_match, length, at, start = items.overlap(words.hashes[words.first[row] : words.first[row + 1]], item, shift, round(100 * min_share))
+    words, best, percent = normal_words(column), {}, round(100 * min_share)
+    for row, item, shift in items.likely(words, items.hits(words), min_overlap, percent).tolist():
+        n_match, length, at, start = items.overlap(words.hashes[words.first[row] : words.first[row + 1]], item, shift, percent)
         need = min(min_overlap, int(items.first[item + 1] - items.first[item]))
         if length >= need:
             best[row, item] = max(best.get((row, item), (0,)), (n_match, length, -at, -start))
@@ -142,7 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each document and test item that overlap: id_col, item_col, n_match, n_overlap, doc_start, item_start (in words).
 
     They overlap when a stretch of at least min_overlap words (or the whole item, if shorter) begins and ends with a common word and
-    has min_share (in whole percent) of its words in common.  The stretch with most matches is returned.
+    has min_share (in whole percent) of its words in common.  The stretch with most matches is returned.  None is missed with a min_overlap
+    of MIN_OVERLAP or more and a min_share of MIN_SHARE or more, which the masks are made for, but for items of fewer than LEAST_WORDS words.
 
     Null and empty texts overlap with nothing.  Rows that repeat an id give one row for each item, as do items that repeat an id; a null
     id is kept as null.  Further columns are ignored.

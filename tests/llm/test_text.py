@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -163,3 +164,36 @@ def test_overlaps_of_nothing(spark):
     assert contaminated(frame(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     assert contaminated(frame(spark, EDGES), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     assert decontaminated(frame(spark, EDGES), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == len(EDGES)
+
+
+@pytest.mark.parametrize("n", [*range(5, 21)])
+def test_every_pattern_of_substitutions_is_found(n):
+    words = [f"item{i}" for i in range(n)]
+    items = decontaminate.Items([1], decontaminate.normal_words(pa.array([" ".join(words)])))
+    patterns = list(combinations(range(1, n - 1), n // 5))
+    texts = ["before " + " ".join("zzz" if i in out else w for i, w in enumerate(words)) + " after" for out in patterns]
+    texts.append(" ".join(words[:-1]) if n < 13 else " ".join(words[:12]))  # too short
+    found = decontaminate.overlaps(items, pa.array(texts), 13, 0.8)
+    assert found == {(r, 0): (n - n // 5, n, -1, 0) for r in range(len(patterns))}
+
+
+def test_masks_leave_no_long_stretch():
+    """The best sum of 1 for a match and -4 for a substitution, over all stretches without a window that a mask picks whole: an overlap has 0 or more."""
+    widest = max(map(len, decontaminate.MASKS))
+    state = np.arange(1 << widest)  # the last places, the latest in the lowest bit
+    picked = [int(m, 2) for m in decontaminate.MASKS]
+    free = ~np.any([state & m == m for m in picked], axis=0)
+    step = np.where(state & 1, 1.0, -4.0)
+
+    def longer(best):
+        before = np.maximum(best[state >> 1], best[(state >> 1) | (1 << (widest - 1))])
+        return np.where(free, before + step, -np.inf)
+
+    best, anywhere = np.full(len(state), -np.inf), np.zeros(len(state))
+    best[0] = 0  # nothing matches before the stretch
+    for length in range(1, 401):
+        best, anywhere = longer(best), longer(anywhere)
+        if length >= 13:
+            assert best[state & 1 == 1].max() < 0
+        if length == 100:
+            assert anywhere.max() < -widest  # a hundred places more always cost more than a start can gain, so longer stretches fail too
