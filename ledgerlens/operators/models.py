@@ -75,6 +75,11 @@ class Ensemble:
         return cls(columns, [GBTClassificationModel.load(f"{folder}/boosted_{i}") for i in range(seeds)], RandomForestClassificationModel.load(f"{folder}/second"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """What learners read, in partitions of the advisory size: each level of each tree is a job with a task for every partition."""
+    return rows.select([c for c in rows.columns if c in ("features", "target", "_val", "_weight")]).hint("rebalance")
+
+
 def fit_ensemble(train: DataFrame, val: DataFrame | None, columns: list[str], seeds: Sequence[int] = SEEDS, ratio: float | None = RATIO, rounds: int = 20, depth: int = 5) -> Ensemble:
     """Boosted trees for each seed on an undersampled training part, stopped early on val if given, and a forest.
 
@@ -92,10 +97,10 @@ def fit_ensemble(train: DataFrame, val: DataFrame | None, columns: list[str], se
             held = assemble(val, columns).withColumn("_val", F.lit(True))
             rows = rows.unionByName(held.withColumn("_weight", F.lit(1.0)) if ratio is None else held, allowMissingColumns=True)
             model = model.setValidationIndicatorCol("_val")
-        rows = rows.persist()
+        rows = _packed(rows).persist()
         boosted.append(model.fit(rows))
         rows.unpersist()
-    forest = RandomForestClassifier(labelCol="target", numTrees=20, maxDepth=depth, seed=seeds[0]).fit(assemble(undersample(train, ratio, seeds[0]), columns))
+    forest = RandomForestClassifier(labelCol="target", numTrees=20, maxDepth=depth, seed=seeds[0]).fit(_packed(assemble(undersample(train, ratio, seeds[0]), columns)))
     return Ensemble(columns, boosted, forest)
 
 

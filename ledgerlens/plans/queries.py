@@ -443,8 +443,14 @@ def score_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ensembles by segment, fitted on the raw numeric columns of the training part, and their scores of the test part."""
-    df = Data(spark, sf_dir).split().persist()
+    """Ensembles by segment, fitted on the features of the training part and stopped early on labelled validation rows, and their scores of the test part.
+
+    Statistics and target encodings are those of events before the test part.  The features are written and read back: training reads them many times.
+    """
+    data, path = Data(spark, sf_dir), f"{_shared(spark)}/model_features"
+    files.write_parquet(build_features(data.tx, stats.compute_stats(data.tx, data.labels, as_of=END)), path)
+    df = dataset.with_labels(files.read_parquet(spark, path), data.labels).withColumn("split", dataset.split_of(CUTOFF, END))
     columns = dataset.feature_columns(df.drop("split").schema)
-    fitted = models.fit_routed(df.filter("split = 'train'"), None, columns, seeds=(42,), rounds=3, depth=3)
+    known = df.filter("is_train = 1")
+    fitted = models.fit_routed(known.filter("split = 'train'"), known.filter("split = 'val' AND is_labeled = 1"), columns)
     return fitted.score(df.filter("split = 'test'")).select("event_id", "model_group", "score")

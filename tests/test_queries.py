@@ -40,6 +40,25 @@ def test_queries_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_model_scores_are_of_the_whole_procedure(spark, monkeypatch):
+    from ledgerlens.operators import models
+
+    calls = []
+
+    def fit(train, val, columns, **options):
+        calls.append((train, val, columns, options))
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "fit_ensemble", fit)
+    with pytest.raises(InterruptedError):
+        QUERIES["model_scores"](spark, SF)
+    train, val, columns, options = calls[0]
+    assert options == {}  # the defaults: three seeds, rounds and depth of the procedure
+    assert len(columns) > 390 and {"tx_count_lifetime", "amount_mean_7d", "event_desc"} <= set(columns)
+    assert {tuple(r) for r in train.select("split", "is_train").distinct().collect()} == {("train", 1)}
+    assert {tuple(r) for r in val.select("split", "is_train", "is_labeled").distinct().collect()} == {("val", 1, 1)}
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 391 and df.count() > 0
