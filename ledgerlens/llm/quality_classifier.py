@@ -21,7 +21,7 @@ from . import words as W
 from .samples import held_out, training_rows
 
 WIDTH, EMBED, FILTERS, HIDDEN, CHUNK = 8, 4, 24, 16, 256
-MOST_ROWS, MOST_CHUNKS, STEPS, BATCH, RATE, THRESHOLD = 3_000, 4, 700, 32, 5e-3, 0.7
+MOST_ROWS, STEPS, BATCH, RATE, THRESHOLD = 3_000, 700, 32, 5e-3, 0.7
 STRIDE = CHUNK - WIDTH + 1
 
 
@@ -128,20 +128,20 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = STEPS,
 _CHUNKS = pa.schema([("id", pa.int64()), ("chunks", pa.binary())])
 
 
-def _sampled(batches):
-    """At most MOST_CHUNKS chunks of each row, evenly spread."""
+def _whole(batches):
+    """All chunks of each row."""
     for batch in batches:
         for piece in W.pieces(batch, "text"):
             chunks, first = chunked(*W.buffers(piece.column("text")))
-            picked = [chunks[np.unique(np.linspace(a, b - 1, MOST_CHUNKS).astype(np.int64))].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.record_batch([piece.column("id"), pa.array(picked, pa.binary())], schema=_CHUNKS)
+            held = [chunks[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.record_batch([piece.column("id"), pa.array(held, pa.binary())], schema=_CHUNKS)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Network:
-    """A network fitted on at most most_rows labelled rows, none of them held out, with at most MOST_CHUNKS chunks of each."""
+    """A network fitted on the whole texts of at most most_rows labelled rows, none of them held out; the driver holds these texts."""
     scratch.tune(docs.sparkSession)
     rows = training_rows(docs, labels, [label], id_col, text_col, most_rows)
-    held = rows.select("id", "text").mapInArrow(_sampled, "id long, chunks binary").join(rows.select("id", label), "id").orderBy("id").toArrow()  # at most most_rows rows
+    held = rows.select("id", "text").mapInArrow(_whole, "id long, chunks binary").join(rows.select("id", label), "id").orderBy("id").toArrow()  # at most most_rows rows
     if not held.num_rows:
         raise ValueError("there are no labelled rows to learn from")
     parts = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, CHUNK) for x in held.column("chunks")]

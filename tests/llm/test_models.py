@@ -45,6 +45,20 @@ def test_quality_on_held_out_rows(spark, tables):
     assert Q.score_quality(frame(spark, []), net).count() == 0
 
 
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    texts = {i: "".join(f"{i}:{k} " for k in range(40 * i)) for i in range(12)}
+    held = []
+    monkeypatch.setattr(Q, "fit", lambda chunks, row, y: held.append((chunks, row)))
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    Q.train_quality(frame(spark, list(texts.items())), labels)
+    chunks, row = held[0]
+    learned = [i for i in sorted(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(set(row)) == list(range(len(learned)))
+    for n, i in enumerate(learned):
+        wanted, _ = Q.chunked(*buffers(pa.array([texts[i]])))
+        assert np.array_equal(chunks[row == n], wanted)
+
+
 def test_training_needs_rows(spark, tables):
     with pytest.raises(ValueError, match="no labelled rows"):
         Q.train_quality(frame(spark, []), tables[1])
