@@ -59,6 +59,16 @@ def test_model_scores_are_of_the_whole_procedure(spark, monkeypatch):
     assert {tuple(r) for r in val.select("split", "is_train", "is_labeled").distinct().collect()} == {("val", 1, 1)}
 
 
+def test_all_buckets_of_the_whole_feature_table_come_back(spark):
+    df = QUERIES["bucketed_roundtrip"](spark, SF)
+    assert set(QUERIES["feature_build"](spark, SF).columns) <= set(df.columns)
+    wanted = spark.read.parquet(f"{SF}/events.parquet").filter("ts >= '2024-01-08'").select("event_id")
+    assert sorted(df.select("event_id").collect()) == sorted(wanted.collect())
+    assert {r.bucket for r in df.select("bucket").distinct().collect()} == {0, 1, 2, 3}
+    one = df.filter("bucket = 1")
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 391 and df.count() > 0
