@@ -285,11 +285,13 @@ def _shared(spark: SparkSession) -> str:
 
 @_query()
 def assemble_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the feature build: width, first cell, and a hash of all cells."""
     from pyspark.ml.functions import vector_to_array
 
-    df = Data(spark, sf_dir).split()
-    out = dataset.assemble(df, dataset.feature_columns(df.drop("split").schema))
-    return out.select("event_id", F.size(vector_to_array("features")).alias("width"), vector_to_array("features")[0].alias("first"))
+    data = Data(spark, sf_dir)
+    built = build_features(data.tx, stats.compute_stats(data.tx, data.labels))
+    cells = dataset.assemble(built, dataset.feature_columns(built.schema)).select("event_id", vector_to_array("features").alias("cells"))
+    return cells.select("event_id", F.size("cells").alias("width"), F.col("cells")[0].alias("first"), F.xxhash64("cells").alias("digest"))
 
 
 # ---- profiles

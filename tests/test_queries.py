@@ -69,6 +69,23 @@ def test_all_buckets_of_the_whole_feature_table_come_back(spark):
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matrix_holds_the_whole_feature_build(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import dataset, stats
+    from ledgerlens.plans import queries
+    from ledgerlens.plans.features import build_features
+
+    data = queries.Data(spark, SF)
+    built = build_features(data.tx, stats.compute_stats(data.tx, data.labels))
+    columns = dataset.feature_columns(built.schema)
+    cell = lambda c: F.when(F.col(c).cast("double").isin(math.inf, -math.inf) | F.isnan(F.col(c).cast("double")) | F.col(c).isNull(), -999.0).otherwise(F.col(c).cast("double"))
+    wanted = built.select("event_id", F.xxhash64(F.array(*map(cell, columns))).alias("digest")).collect()
+    found = QUERIES["assemble_matrix"](spark, SF).collect()
+    assert {r.width for r in found} == {len(columns)} and len(columns) > 390
+    assert sorted((r.event_id, r.digest) for r in found) == sorted(map(tuple, wanted))
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 391 and df.count() > 0
