@@ -12,6 +12,7 @@ keeping what follows it gives the text back.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -47,7 +48,7 @@ def escaped(text: Column, template: Template) -> Column:
 
 
 def unescaped(text: Column, template: Template) -> Column:
-    return F.regexp_replace(text, rf"(?s)\{template.escape}(.)", "$1")
+    return F.regexp_replace(text, f"(?s){re.escape(template.escape)}(.)", "$1")
 
 
 def _segments(role: Column, text: Column, template: Template) -> Column:
@@ -95,7 +96,7 @@ def parsed(formatted: Column, template: Template | None = None) -> Column:
     """The turns (role, text) of a formatted string, unescaped."""
     template = template or Template()
     tags = ["TURN", *(tag for tag, _ in template.roles.values())]
-    turns = F.regexp_extract_all(formatted, F.lit("(?s)" + "|".join(rf"\[{t}\] .*? \[/{t}\]" for t in tags)), F.lit(0))
+    turns = F.regexp_extract_all(formatted, F.lit("(?s)" + "|".join(rf"\[{t}\] .*? \[/{t}\]" for t in map(re.escape, tags))), F.lit(0))
 
     def turn(s: Column) -> Column:
         body = F.substring(s, F.lit(len("[TURN] ") + 1), F.char_length(s) - len("[TURN]  [/TURN]"))

@@ -139,16 +139,22 @@ def _chat_sql() -> str:
     role = "replace(role, '\\', '\\\\')"
     for c in t.controls():
         esc, role = (f"replace({x}, '{c}', '{c[0]}\\{c[1:]}')" for x in (esc, role))
+    moves = ", ".join(f"'{a}>{b}'" for a, bs in t.follows.items() for b in bs)
+    ends = ", ".join(f"'{e}'" for e in t.ends)
     marks = " ".join(f"WHEN role = '{name}' THEN {2 * len(tag) + 7}" for name, (tag, _) in t.roles.items())
     return f"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-), s AS (SELECT *, length({esc}) + CASE {marks} ELSE length({role}) + 21 END AS size FROM r)
+), s AS (
+  SELECT *, length({esc}) + CASE {marks} ELSE length({role}) + 21 END AS size, row_number() OVER o - 1 AS i, row_number() OVER b = 1 AS last,
+    coalesce(lag(role) OVER o, '') || '>' || role NOT IN ({moves}) AS bad
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), b AS (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC)
+)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  (sum(size) + 7)::BIGINT AS formatted_chars
+  (sum(size) + 7)::BIGINT AS formatted_chars, NOT bool_or(bad) AND bool_or(last AND role IN ({ends})) AS valid, min(i) FILTER (WHERE bad)::INT AS bad_turn
 FROM s GROUP BY conv_id
 """
 
@@ -168,6 +174,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
     )
 
 
