@@ -212,9 +212,9 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 @_query()
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import count_tokens, load_pieces
+    from .token_counts import count_tokens, load_pieces, rank_scores
 
-    return count_tokens(_read(spark, sf_dir, "documents"), load_pieces(PIECES))
+    return count_tokens(_read(spark, sf_dir, "documents"), rank_scores(load_pieces(PIECES)))
 
 
 @_query()

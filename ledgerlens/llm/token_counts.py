@@ -1,10 +1,13 @@
 """Token counts under a unigram model, with the forward scores of shared prefixes computed once.
 
 A text is split into pre-tokens at white space; each gets the mark of a word's beginning.  The
-distinct pre-tokens of a batch go into a trie, level by level, and each trie node gets the best score of any
+distinct pre-tokens of a batch go into a trie, and each trie node gets the best score of any
 segmentation of its prefix: the maximum, over the pieces that end there, of the score of the
-node before the piece plus the piece's score.  A node at which a pre-token ends gives its number of tokens.
+node before the piece plus the piece's score.  A node at which a pre-token ends stores its number of tokens.
 All nodes of a level are computed together.
+
+The scores are logarithms of probabilities that add up to one.  :func:`rank_scores` makes them for a vocabulary that is ordered by
+frequency, as BPE vocabularies are: the probability of a piece falls with its rank by Zipf's law.
 """
 
 from __future__ import annotations
@@ -17,96 +20,115 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import words as W
 
-MARK, LONG = "▁", 64
-_SHIFT, _B = 20, np.uint64(0x9E3779B97F4A7C15)
+MARK, UNITS, ZIPF_SHIFT = "▁", 1 << 16, 2.7
+_BASE = W._BASE
 
 
 class Unigram:
-    """Pieces with integer scores; higher is better.
+    """Pieces with log-probabilities, kept as whole numbers of 1 / UNITS.
 
-    A code point that is no piece itself is as many tokens as UTF-8 needs bytes for it, each scored below all pieces.
-    Of segmentations with equal scores the one with fewer tokens counts.
+    A code point that is no piece itself is as many tokens as UTF-8 needs bytes for it, each less likely than all pieces by a factor of
+    exp(10).  Of segmentations with equal scores the one with fewer tokens counts.
     """
 
-    def __init__(self, scores: dict[str, int]):
+    def __init__(self, scores: dict[str, float]):
         if not scores:
             raise ValueError("the vocabulary is empty")
-        self.scores, self.longest, self.byte = scores, max(map(len, scores)), min(scores.values()) - 10
-        hashes = np.array([self._hash(p) for p in scores], np.uint64)
+        self.scores, self.longest = {p: round(UNITS * s) for p, s in scores.items()}, max(map(len, scores))
+        self.byte = min(self.scores.values()) - 10 * UNITS
+        sizes = np.array([len(p) for p in scores])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        hashes = self._spans(self._sums(_points("".join(scores))), first[:-1], sizes)
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], np.array(list(scores.values()), np.int64)[order]
+        self.hashes, self.values = hashes[order], np.array(list(self.scores.values()), np.int64)[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have the same hash")
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    @staticmethod
+    def _sums(points: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(points.astype(np.uint64)) * W.powers(_BASE, len(points)), dtype=np.uint64)])
 
     @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for j, c in enumerate(reversed(piece)):
-            h += (ord(c) + 1) * pow(int(_B), j + 1, 1 << 64)
-        return h % (1 << 64)
-
-    def score(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is a piece's, and its score."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] == hashes, self.values[at]
-
-    def tokens(self, word: str) -> int:
-        """The number of tokens of one pre-token, its mark included, without a trie."""
-        best = [(0, 0)]
-        for end in range(1, len(word) + 1):
-            n = len(word[end - 1].encode())
-            score, less = best[end - 1]
-            top = (score + n * self.byte, less - n)
-            for size in range(1, min(end, self.longest) + 1):
-                piece = self.scores.get(word[end - size : end])
-                if piece is not None:
-                    score, less = best[end - size]
-                    top = max(top, (score + piece, less - 1))
-            best.append(top)
-        return -best[-1][1]
+    def _spans(sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of the code points of each span."""
+        return W.mix((sums[start + size] - sums[start]) * W.powers(W._BASE_INVERSE, len(sums))[start])
 
     def count(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The number of tokens of each word: code points, and the first of each word (one more at the end)."""
         sizes = np.diff(first)
-        out, node = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        alive = np.flatnonzero(sizes > 0)
-        parents, chars, best = [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)]
-        utf8 = np.array([1, 2, 3, 4])
-        level = 0
-        while len(alive):
-            char = points[first[alive] + level].astype(np.int64)
-            keys, at = np.unique((node[alive] << 21) | char, return_inverse=True)
-            node[alive] = at
-            parents.append(keys >> 21)
-            chars.append((keys & 0x1FFFFF).astype(np.uint64))
-            level += 1
-            c = chars[level].astype(np.int64)
-            n = utf8[np.searchsorted(np.array([0x80, 0x800, 0x10000]), c, side="right")]
-            back = parents[level]
-            top = best[level - 1][back] + ((n * self.byte) << _SHIFT) - n
-            h, here = np.zeros(len(keys), np.uint64), np.arange(len(keys))
-            power = int(_B)
-            for size in range(1, min(level, self.longest) + 1):
-                h += (chars[level - size + 1][here] + np.uint64(1)) * np.uint64(power)
-                here = parents[level - size + 1][here]
-                known, score = self.score(h)
-                if known.any():
-                    top = np.where(known, np.maximum(top, best[level - size][here] + (score << _SHIFT) - 1), top)
-                power = power * int(_B) % (1 << 64)
-            best.append(top)
-            done = sizes[alive] == level
-            out[alive[done]] = -top[node[alive[done]]] & ((1 << _SHIFT) - 1)
-            alive = alive[~done]
+        out = np.zeros(len(sizes), np.int64)
+        if not len(points):
+            return out
+        sums = self._sums(points)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        start = first[:-1][word]
+        level = np.arange(len(points)) - start + 1
+        # the trie's nodes are the distinct prefixes, ordered by level; node 0 is the root
+        _, at, node = np.unique(self._spans(sums, start, level), return_index=True, return_inverse=True)
+        order = np.argsort(level[at], kind="stable")
+        at, place = at[order], np.empty(len(at), np.int64)
+        place[order] = np.arange(1, len(at) + 1)
+        node = place[node]
+        # an edge for each piece that ends at a node
+        ends = [np.arange(len(at))]
+        begins = [np.where(level[at] > 1, node[at - 1], 0)]
+        n = np.array([1, 2, 3, 4])[np.searchsorted(np.array([0x80, 0x800, 0x10000]), points[at], side="right")]
+        values, tokens = [n * self.byte], [n]
+        here = np.arange(len(at))
+        for size in range(1, self.longest + 1):
+            here = here[level[at[here]] >= size]
+            h = self._spans(sums, at[here] - size + 1, np.int64(size))
+            maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            same = self.hashes[found] == h[maybe]
+            end = here[maybe[same]]
+            ends.append(end)
+            begins.append(np.where(level[at[end]] > size, node[at[end] - size], 0))
+            values.append(self.values[found[same]])
+            tokens.append(np.ones(len(end), np.int64))
+        end, begin, value, token = map(np.concatenate, (ends, begins, values, tokens))
+        order = np.argsort(end, kind="stable")
+        end, begin, value, token = end[order], begin[order], value[order], token[order]
+        edge = np.searchsorted(end, np.arange(len(at) + 1))  # the first edge of each node
+        deep = level[at]
+        cuts = np.searchsorted(deep, np.arange(1, int(deep[-1]) + 2))
+        best, fewest = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x, y = edge[a], edge[b]
+            score = best[begin[x:y]] + value[x:y]
+            if b == a + 1:  # the tail of a long word
+                best[b] = top = score.max()
+                fewest[b] = (fewest[begin[x:y]] + token[x:y])[score == top].min()
+                continue
+            from_first = edge[a:b] - x
+            top = np.maximum.reduceat(score, from_first)
+            best[a + 1 : b + 1] = top
+            less = np.where(score == np.repeat(top, np.diff(np.append(from_first, y - x))), fewest[begin[x:y]] + token[x:y], np.iinfo(np.int64).max)
+            fewest[a + 1 : b + 1] = np.minimum.reduceat(less, from_first)
+        some = np.flatnonzero(sizes)
+        out[some] = fewest[node[first[1:][some] - 1]]
         return out
 
 
-def load_pieces(path: str) -> dict[str, int]:
-    """Pieces and integer scores of a SentencePiece model file, without control, unknown and byte pieces.  Its scores are whole numbers."""
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def rank_scores(pieces: list[str], shift: float = ZIPF_SHIFT) -> dict[str, float]:
+    """Log-probabilities of pieces that are ordered by frequency: by the law of Zipf and Mandelbrot, 1 / (rank + shift), adding up to one."""
+    weight = 1 / (np.arange(1, len(pieces) + 1) + shift)
+    return dict(zip(pieces, np.log(weight / weight.sum()).tolist(), strict=True))
+
+
+def load_pieces(path: str) -> list[str]:
+    """Pieces of a SentencePiece model file, those with the highest score first, without control, unknown and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    every = range(model.get_piece_size())
-    return {model.id_to_piece(i): round(model.get_score(i)) for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    every = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
+    return [model.id_to_piece(i) for i in sorted(every, key=lambda i: (-model.get_score(i), i))]
 
 
 _OUT = pa.schema([("id", pa.int64()), ("n_pre_tokens", pa.int64()), ("n_tokens", pa.int64())])
@@ -125,28 +147,21 @@ def counts_of(column: pa.Array, model: Unigram) -> tuple[np.ndarray, np.ndarray]
     first = chars[np.concatenate([[0], np.cumsum(sizes)])]
     marked = np.insert(points, first[:-1], ord(MARK)) if len(sizes) else points
     first = first + np.arange(len(first))
-    long = np.diff(first) > LONG
-    tokens = np.zeros(len(sizes), np.int64)
-    for i in np.flatnonzero(long).tolist():
-        tokens[i] = model.tokens(marked[first[i] : first[i + 1]].tobytes().decode("utf-32-le"))
-    short = np.flatnonzero(~long)
-    if len(short):
-        keep = np.repeat(~long, np.diff(first))
-        tokens[short] = model.count(marked[keep], np.concatenate([[0], np.cumsum(np.diff(first)[short])]))
+    tokens = model.count(marked, first)
     return np.diff(words.first), W.sums_by_row(tokens[inverse], words.first)
 
 
-def count_tokens(docs: DataFrame, pieces: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_pre_tokens and n_tokens for each input row.
 
-    The vocabulary goes to every executor; it must have at most a million pieces.  A null or empty text has no tokens.  Rows are
+    scores are log-probabilities of pieces.  They go to every executor; there must be at most a million.  A null or empty text has no tokens.  Rows are
     counted one by one, so repeated rows, null ids and further columns make no difference.
     """
-    if len(pieces) > 1_000_000:
+    if len(scores) > 1_000_000:
         raise ValueError("the vocabulary has more than a million pieces")
     spark = docs.sparkSession
     scratch.tune(spark)
-    shared = spark.sparkContext.broadcast(Unigram(pieces))
+    shared = spark.sparkContext.broadcast(Unigram(scores))
 
     def count(batches):
         for batch in batches:

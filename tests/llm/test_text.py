@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -8,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerlens.llm import decontaminate
+from ledgerlens.llm import decontaminate, queries
 from ledgerlens.llm.decontaminate import contaminated, decontaminated
 from ledgerlens.llm.quality_rules import quality_rules, suffix_array
-from ledgerlens.llm.token_counts import MARK, Unigram, count_tokens, counts_of, load_pieces
+from ledgerlens.llm.token_counts import MARK, Unigram, count_tokens, counts_of, load_pieces, rank_scores
 
 from .helpers import EDGES, empty, frame, random_docs
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -63,37 +65,73 @@ def test_suffix_array():
     assert suffix_array(symbols, rows, ends).tolist() == order
 
 
+def brute_tokens(model, word):
+    """The number of tokens of one pre-token, without a trie and without hashes."""
+    best = [(0, 0)]
+    for end in range(1, len(word) + 1):
+        n = len(word[end - 1].encode())
+        options = [(best[end - 1][0] + n * model.byte, best[end - 1][1] - n)]
+        options += [(best[end - size][0] + model.scores[p], best[end - size][1] - 1) for size in range(1, min(end, model.longest) + 1) if (p := word[end - size : end]) in model.scores]
+        best.append(max(options))
+    return -best[-1][1]
+
+
 def test_tokens_by_trie_and_alone():
     r = random.Random(4)
-    scores = {MARK: -9, **{c: -8 for c in "abcé"}}
-    scores |= {"".join(r.choice("abcé" + MARK) for _ in range(r.randrange(2, 6))): -r.randrange(1, 12) for _ in range(60)}
+    scores = {MARK: -9.0, **{c: -8.0 for c in "abcé"}}
+    scores |= {"".join(r.choice("abcé" + MARK) for _ in range(r.randrange(2, 6))): -r.randrange(1, 12) / 2 for _ in range(60)}
     model = Unigram(scores)
+    words = ["".join(r.choice("abcéz漢😀") for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    long = "".join(r.choice("abcéz") for _ in range(3_000))
+    n, tokens = counts_of(pa.array([" ".join(words), None, "", words[0], "abc" * 100, long, long[:1500] + " " + long]), model)
+    assert n.tolist() == [60, 0, 0, 1, 1, 1, 2]
+    alone = [brute_tokens(model, MARK + w) for w in ("abc" * 100, long, long[:1500])]
+    assert tokens.tolist() == [sum(brute_tokens(model, MARK + w) for w in words), 0, 0, brute_tokens(model, MARK + words[0]), alone[0], alone[1], alone[1] + alone[2]]
 
-    def best(word):
-        if not word:
-            return (0, 0)
-        options = [(scores[word[:n]] + s, t + 1, 1) for n in range(1, len(word) + 1) if word[:n] in scores for s, t in [best(word[n:])]]
-        n = len(word[0].encode())
-        s, t = best(word[1:])
-        options.append((n * model.byte + s, t + n, 1))
-        s, t, _ = max(options, key=lambda x: (x[0], -x[1]))
-        return s, t
 
-    words = ["".join(r.choice("abcéz漢😀") for _ in range(r.randrange(1, 9))) for _ in range(60)]
-    for w in words:
-        assert model.tokens(MARK + w) == best(MARK + w)[1]
-    n, tokens = counts_of(pa.array([" ".join(words), None, "", words[0], "abc" * 100]), model)
-    assert n.tolist() == [60, 0, 0, 1, 1]
-    assert tokens.tolist() == [sum(model.tokens(MARK + w) for w in words), 0, 0, model.tokens(MARK + words[0]), model.tokens(MARK + "abc" * 100)]
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return rank_scores(load_pieces(VOCABULARY))
+
+
+def test_scores_are_log_probabilities(pieces):
+    assert abs(sum(map(math.exp, pieces.values())) - 1) < 1e-9 and len(pieces) > 31_000
+    assert list(pieces.values()) == sorted(pieces.values(), reverse=True) and max(pieces.values()) < 0
 
 
 @pytest.mark.parametrize("rows", [EDGES, empty])
-def test_count_tokens(spark, rows):
-    model = Unigram(pieces := load_pieces("/opt/tokenizers/piece_bpe_32k.model"))
+def test_count_tokens(spark, rows, pieces):
+    model = Unigram(pieces)
     out = sorted((tuple(r) for r in count_tokens(frame(spark, rows), pieces).collect()), key=repr)
-    cut = [r for r in rows if r[0] != 10]
-    wanted = [(i, len(WORD.findall(t or "")), sum(model.tokens(MARK + w) for w in WORD.findall(t or ""))) for i, t in cut]
-    assert [x for x in out if x[0] != 10] == sorted(wanted, key=repr)
+    wanted = [(i, len(WORD.findall(t or "")), sum(brute_tokens(model, MARK + w) for w in WORD.findall(t or ""))) for i, t in rows]
+    assert out == sorted(wanted, key=repr)
+
+
+def test_whole_query_by_brute_force(spark, pieces):
+    model, known = Unigram(pieces), {}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    alone = lambda w: known.setdefault(w, None) or known.update({w: brute_tokens(model, MARK + w)}) or known[w]
+    wanted = {(r.doc_id, len(w), sum(map(alone, w))) for r in rows for w in [WORD.findall(r.text or "")]}
+    assert {tuple(r) for r in queries.op8_token_counts(spark, SF).collect()} == wanted
+
+
+ENGLISH = """The quick brown fox jumps over the lazy dog. It was the best of times, it was the worst of times; unbelievable representations of tokenization
+notwithstanding, most readers understand ordinary prose without difficulty, because frequent words are written as single pieces and rare ones are not."""
+
+
+def test_counts_are_near_those_of_the_vocabulary_s_own_encoding(spark, pieces):
+    import sentencepiece
+
+    own, model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY), Unigram(pieces)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    for some, each in (([ENGLISH], 0.02), (texts, 0.25)):
+        counts = counts_of(pa.array(some), model)[1]
+        encoded = np.array([sum(len(own.encode(w)) for w in WORD.findall(t)) for t in some])
+        assert abs(counts.sum() / encoded.sum() - 1) < 0.05
+        assert (np.abs(counts / np.maximum(encoded, 1) - 1)[encoded > 0] <= each).all()
 
 
 def test_broken_vocabularies():
