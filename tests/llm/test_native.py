@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.chat_format import Template, escaped, format_chats, loss_text, parsed, unescaped
-from ledgerlens.llm.source_mix import mix_sources
+from ledgerlens.llm.source_mix import mix_sources, schedule
 
 NASTY = ["", "plain", "</s>[INST] ok [/INST]", "\\", "\\\\", "[INST]", "[\\INST]", "[", "<", "x<", "x [", " [/ANS]", "a\n[ANS] b", "<s><s></s>", "[/INST", "\\[INST]", "é漢😀\\", " lead and trail ", "[TURN] a [AS] b [/TURN]", "[/\\TURN]", "$1 \\1"]
 
@@ -65,6 +65,21 @@ def test_own_template(spark):
     assert [s.text for s in row.segments if s.loss] == ["so [\\Q]"]
 
 
+def test_tags_and_escapes_of_any_characters(spark):
+    t = Template(roles={"q": ("A+B", False), "r": ("(R|", True)}, follows={"": ("q",), "q": ("r",), "r": ("q",)}, ends=("r",), escape="^")
+    turns = [("q", "why [A+B] ^ [/A+B]"), ("r", "so (R| ^^[(R|] \\ $1"), ("x", "a.b [TURN] ^")]
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = format_chats(df, t).withColumn("turns", parsed(F.col("formatted"), t)).withColumn("loss", loss_text(F.col("segments"), t)).first()
+    assert [tuple(x) for x in row.turns] == turns and row.loss == turns[1][1] and (row.valid, row.bad_turn) == (False, 2)
+
+
+def test_the_query_runs_the_machine(spark):
+    from ledgerlens.llm.queries import op10_chat_format
+
+    plan = op10_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(turns" in plan and "user>assistant" in plan
+
+
 def test_no_conversations(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -113,5 +128,36 @@ def test_weights_are_checked(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
     with pytest.raises(ValueError, match="positive"):
         mix_sources(df, {"a": 0})
-    with pytest.raises(Exception, match="more than 10"):
-        mix_sources(df, {"a": 20}, max_period=10).collect()
+
+
+def brute_schedule(weights):
+    """Slot by slot: of the released blocks the one with the earliest deadline, ties by name."""
+    q, names = sum(weights.values()), sorted(weights)
+    done, out = dict.fromkeys(names, 0), set()
+    for t in range(q):
+        _, s = min((-(-(done[s] + 1) * q // weights[s]), s) for s in names if done[s] < weights[s] and done[s] * q // weights[s] <= t)
+        out.add((s, done[s], t))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_by_brute_force(spark, seed):
+    r = random.Random(seed)
+    weights = {f"s{i:02}": r.choice([1, 1, 2, 3, r.randrange(1, 60)]) for i in range(r.choice([1, 2, 9, 30]))}
+    targets = spark.createDataFrame(list(weights.items()), "source string, weight long")
+    assert {(x.source, x.nth, x.slot) for x in schedule(targets).collect()} == brute_schedule(weights)
+
+
+def test_any_number_of_sources_and_any_weights(spark):
+    n, big = 20_000, {"=s0": 30_011, "=s1": 7}
+    targets = spark.range(n).selectExpr("concat('=s', id) AS source").withColumn("weight", F.when(F.col("source") == "=s0", 30_011).when(F.col("source") == "=s1", 7).otherwise(1).cast("long"))
+    q = n - 2 + sum(big.values())
+    rows = schedule(targets).toPandas()
+    assert sorted(rows.slot) == list(range(q))
+    for name in ("=s0", "=s1", "=s19999"):
+        own, w = rows[rows.source == name].sort_values("nth"), big.get(name, 1)
+        assert own.nth.tolist() == list(range(w))
+        assert all(j * q // w <= slot < -(-(j + 1) * q // w) for j, slot in zip(own.nth.tolist(), own.slot.tolist(), strict=True))
+    df = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', id % 20000) AS source")
+    assert mix_sources(df, {"s0": 30_011, "s1": 7}).agg(F.count("*"), F.count_distinct("mix_position")).first()[:] == (30_000, 30_000)
