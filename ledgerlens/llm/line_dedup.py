@@ -5,12 +5,12 @@ known by 128 bits.  Blocks of documents report their distinct keys to shards of
 hash space, each with the number of documents that hold it and the smallest one.  A shard keeps
 
 * a cuckoo filter of the keys it has seen, and
-* a reference table: the exact number of documents and the smallest holder of each key.
+* a reference table: for each key the blocks that hold it, with the exact number of documents and the smallest one of each block.
 
 A key that the filter rules out is new and goes straight into both; only the others
-are looked up in the table.  Removing documents lowers the counts; a key whose
-count falls to 0 leaves the table and the filter, so a deletion undoes an insertion.
-A line is dropped where the smallest holder of its key is another, smaller document.
+are looked up in the table.  Removing documents takes their block's entries back and puts those of the documents that are left in their place; a
+key without entries leaves the table and the filter, so a deletion undoes an insertion, and its work grows with the blocks that it
+touches and not with the corpus.  A line is dropped where the smallest holder of its key is another, smaller document.
 
 :class:`LineIndex` keeps the shards between batches.  :func:`dedup_lines` is one batch
 on an empty index.
@@ -80,93 +80,104 @@ def _report(min_chars: int, shards: int):
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 keys, counts, least, _ = Lines(payload.as_py(), min_chars).keys()
                 shard, at = np.unique(_shard(keys, shards), return_index=True)
-                cuts = [*at, len(keys)]
-                for s, a, b in zip(shard.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    yield blocks.table(blocks.ASK, [[block], [s], [keys[a:b].tobytes()], [blocks.zipped(np.concatenate([counts[a:b], least[a:b]]))]])
+                spans = list(zip(at, np.append(at, len(keys))[1:], strict=True))
+                extra = [blocks.zipped(np.concatenate([counts[a:b], least[a:b]])) for a, b in spans]
+                yield blocks.table(blocks.ASK, [[block] * len(spans), shard, [keys[a:b].tobytes() for a, b in spans], extra])
 
     return report
 
 
+class Entries:
+    """Keys with a block, the number of its documents that hold the key, and the smallest of them; sorted by key and block."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        order = np.lexsort((numbers[0], keys["b"], keys["a"]))
+        self.keys, self.numbers = keys[order], numbers[:, order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (self.keys["a"][1:] != self.keys["a"][:-1]) | (self.keys["b"][1:] != self.keys["b"][:-1])
+        self.first = np.flatnonzero(new)
+
+    def distinct(self) -> np.ndarray:
+        return self.keys[self.first]
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the distinct ones; -1 if it isn't there."""
+        a, b = self.keys["a"][self.first], self.keys["b"][self.first]
+        if not len(a):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(a, keys["a"])
+        inside = lambda at: np.minimum(at, len(a) - 1)
+        while len(on := np.flatnonzero((at < len(a)) & (a[inside(at)] == keys["a"]) & (b[inside(at)] < keys["b"]))):
+            at[on] += 1  # two keys with equal first halves
+        return np.where((at < len(a)) & (a[inside(at)] == keys["a"]) & (b[inside(at)] == keys["b"]), at, -1)
+
+
 class Shard:
-    """A shard's filter and reference table."""
+    """A shard's filter and reference table.  The filter works on the second halves of keys: the first choose the shard."""
 
     def __init__(self, capacity: int):
-        self.filter, self.table = CuckooFilter(capacity), {}
-
-    def add(self, keys: np.ndarray, counts: np.ndarray, least: np.ndarray) -> None:
-        seen = self.filter.contains(keys["a"])
-        fresh = []
-        for i, (key, maybe, n, d) in enumerate(zip(_names(keys), seen.tolist(), counts.tolist(), least.tolist(), strict=True)):
-            held = self.table.get(key) if maybe else None
-            if held is None:
-                self.table[key] = [n, d]
-                fresh.append(i)
-            else:
-                held[0] += n
-                held[1] = min(held[1], d)
-        self.filter.insert(keys["a"][fresh])
-
-    def remove(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Lower counts; the smallest holders are set anew by elect()."""
-        gone = []
-        for i, (key, n) in enumerate(zip(_names(keys), counts.tolist(), strict=True)):
-            held = self.table[key]
-            held[0] -= n
-            if not held[0]:
-                del self.table[key]
-                gone.append(i)
-        self.filter.delete(keys["a"][gone])
-
-    def elect(self, questions: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Set the smallest holders from the questions of all blocks that are left."""
-        for held in self.table.values():
-            held[1] = None
-        for keys, _, least in questions:
-            for key, d in zip(_names(keys), least.tolist(), strict=True):
-                held = self.table[key]
-                held[1] = d if held[1] is None else min(held[1], d)
+        self.filter, self.table = CuckooFilter(capacity), Entries(np.zeros(0, _KEY), np.zeros((3, 0), np.int64))
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """New entries; numbers: blocks, counts and smallest holders."""
+        distinct = Entries(keys, numbers).distinct()
+        known = self.filter.contains(distinct["b"])
+        known[known] = self.table.places(distinct[known]) >= 0  # only these are looked up
+        size = len(self.table.first) + int((~known).sum())
+        if size > self.filter.slots.size * 0.9:  # too small by now
+            self.filter = CuckooFilter(2 * size)
+            self.filter.insert(self.table.distinct()["b"])
+        self.filter.insert(distinct["b"][~known])
+        self.table = Entries(np.concatenate([self.table.keys, keys]), np.concatenate([self.table.numbers, numbers], axis=1))
+
+    def remove(self, keys: np.ndarray, block: np.ndarray) -> None:
+        """Take back the entries of these keys and blocks.  Keys without any left go."""
+        old, place = self.table, np.repeat(np.arange(len(self.table.first)), np.diff(np.append(self.table.first, len(self.table.keys))))
+        gone = self.table.places(keys)
+        numbers, n = np.unique(np.concatenate([old.numbers[0], block]), return_inverse=True)
+        stay = ~np.isin(place * len(numbers) + n[: len(place)], (gone * len(numbers) + n[len(place) :])[gone >= 0])
+        self.table = Entries(old.keys[stay], old.numbers[:, stay])
+        before = old.distinct()
+        self.filter.delete(before["b"][self.table.places(before) < 0])
 
     def least(self, keys: np.ndarray) -> np.ndarray:
-        return np.fromiter((self.table[k][1] for k in _names(keys)), np.int64, len(keys))
+        """The smallest holder of each key, all of which are in the table."""
+        each = np.minimum.reduceat(self.table.numbers[2], self.table.first) if len(self.table.first) else np.zeros(0, np.int64)
+        return each[self.table.places(keys)]
 
     def to_row(self, shard: int) -> dict:
-        held = np.array(list(self.table.values()), np.int64).reshape(-1, 2)
-        return {"shard": shard, "filter": self.filter.to_bytes(), "keys": b"".join(self.table), "counts": blocks.zipped(held.T.ravel())}
+        return {"shard": shard, "filter": self.filter.to_bytes(), "keys": self.table.keys.tobytes(), "numbers": blocks.zipped(self.table.numbers.ravel())}
 
     @classmethod
     def from_row(cls, row: dict) -> Shard:
         out = cls(0)
-        out.filter = CuckooFilter.from_bytes(row["filter"])
-        held = blocks.unzip([row["counts"]]).reshape(2, -1)
-        out.table = {row["keys"][16 * i : 16 * i + 16]: [int(n), int(d)] for i, (n, d) in enumerate(held.T)}
+        out.filter, out.table = CuckooFilter.from_bytes(row["filter"]), Entries(np.frombuffer(row["keys"], _KEY), blocks.unzip([row["numbers"]]).reshape(3, -1))
         return out
 
 
-def _names(keys: np.ndarray) -> list[bytes]:
-    raw = keys.tobytes()
-    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+def _questions(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The keys of each question, and the numbers of all: blocks, counts and smallest holders."""
+    keys = [np.frombuffer(x.as_py(), _KEY) for x in table.column("keys")]
+    numbers = [np.stack([np.full(len(k), b), *np.split(blocks.unzip([x.as_py()]), 2)]) for k, b, x in zip(keys, table.column("block").to_pylist(), table.column("extra"), strict=True)]
+    return keys, np.concatenate([np.zeros((3, 0), np.int64), *numbers], axis=1)
 
 
-def _questions(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    out = []
-    for keys, extra in zip(table.column("keys"), table.column("extra"), strict=True):
-        counts, least = np.split(blocks.unzip([extra.as_py()]), 2)
-        out.append((np.frombuffer(keys.as_py(), _KEY), counts, least))
-    return out
+def _all(keys: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, _KEY), *keys])
 
 
-def _filled(questions: list) -> Shard:
-    shard = Shard(sum(len(k) for k, _, _ in questions))
-    for q in questions:
-        shard.add(*q)
-    return shard
+def _answers(shard: Shard, table: pa.Table, keys: list[np.ndarray]) -> pa.Table:
+    m, least = table.num_rows, shard.least(_all(keys))
+    parts = np.split(least, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
+    return pa.Table.from_batches([blocks.table(blocks.ANSWER, [table.column("block").to_pylist(), [0] * m, table.column("shard").to_pylist(), [blocks.zipped(x) for x in parts]])])
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """The smallest holder of each key of each question, from a shard that is filled with all of them."""
-    questions = _questions(table)
-    shard, m = _filled(questions), table.num_rows
-    return pa.Table.from_batches([blocks.table(blocks.ANSWER, [table.column("block").to_pylist(), [0] * m, table.column("shard").to_pylist(), [blocks.zipped(shard.least(k)) for k, _, _ in questions]])])
+    keys, numbers = _questions(table)
+    shard = Shard(numbers.shape[1])
+    shard.add(_all(keys), numbers)
+    return _answers(shard, table, keys)
 
 
 def _out(rest: str) -> str:
@@ -212,42 +223,43 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return blocks.answered(payload, asked.groupBy("shard").applyInArrow(_answer, blocks.ANSWER_DDL)).mapInArrow(_drop(min_chars), _out(blocks.rest_type(docs, id_col, text_col))).withColumnRenamed("id", id_col)
 
 
-_STATE = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
-_STATE_DDL = "shard int, filter binary, keys binary, counts binary"
+_STATE = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("keys", pa.binary()), ("numbers", pa.binary())])
+_STATE_DDL = "shard int, filter binary, keys binary, numbers binary"
+_BLOCK_DDL = "block long, bytes long, payload binary"
 
 
 def _state(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_STATE)
 
 
-def _inserted(state: pa.Table, asked: pa.Table) -> pa.Table:
-    """A shard after more questions.  A filter too small for them is built anew from the table's keys."""
-    questions = _questions(asked)
-    more = sum(len(k) for k, _, _ in questions)
+def _changed(state: pa.Table, changes: pa.Table) -> pa.Table:
+    """A shard after the questions of blocks that are taken back (sign -1) and of those that come in (sign 1)."""
     row = state.to_pylist()[0] if state.num_rows else None
-    shard = Shard.from_row(row) if row else Shard(more)
-    if row and len(shard.table) + more > shard.filter.slots.size * 0.9:
-        shard.filter = CuckooFilter(2 * (len(shard.table) + more))
-        shard.filter.insert(np.frombuffer(b"".join(shard.table), _KEY)["a"])
-    for q in questions:
-        shard.add(*q)
-    number = row["shard"] if row else asked.column("shard")[0].as_py()
-    return _state([shard.to_row(number)])
-
-
-def _deleted(state: pa.Table, changes: pa.Table) -> pa.Table:
-    """A shard after the questions of removed documents (sign -1); those of the blocks left (sign 1) elect the smallest holders."""
-    if not state.num_rows:
-        return _state([])
-    row = state.to_pylist()[0]
-    sign = np.asarray(changes.column("sign")) if changes.num_rows else np.zeros(0, int)
-    if not (sign < 0).any():
+    if not changes.num_rows:
         return _state([row])
-    shard = Shard.from_row(row)
-    for keys, counts, _ in _questions(changes.filter(pa.array(sign < 0))):
-        shard.remove(keys, counts)
-    shard.elect(_questions(changes.filter(pa.array(sign > 0))))
-    return _state([shard.to_row(row["shard"])])
+    sign = np.asarray(changes.column("sign"))
+    keys, numbers = _questions(changes.filter(pa.array(sign > 0)))
+    shard = Shard.from_row(row) if row else Shard(numbers.shape[1])
+    gone, old = _questions(changes.filter(pa.array(sign < 0)))
+    shard.remove(_all(gone), old[0])
+    shard.add(_all(keys), numbers)
+    return _state([shard.to_row(row["shard"] if row else changes.column("shard")[0].as_py())] if len(shard.table.keys) else [])
+
+
+def _split(shards: int):
+    """States, dealt to more shards."""
+
+    def split(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = Shard.from_row(row).table
+                number = _shard(table.keys, shards)
+                for s in np.unique(number).tolist():
+                    own = Shard(int((number == s).sum()))
+                    own.add(table.keys[number == s], table.numbers[:, number == s])
+                    yield from _state([own.to_row(s)]).to_batches()
+
+    return split
 
 
 def _only(batches, wanted: bool):
@@ -261,38 +273,67 @@ def _only(batches, wanted: bool):
 
 
 class LineIndex:
-    """Lines of the documents inserted so far.  Each change writes new tables below the shared scratch folder.
+    """Lines of the documents inserted so far.  Each change writes new tables below the shared scratch folder: of the blocks and shards that it
+    touches, and of everything at each COMPACT_EVERY-th change.
 
-    shards is fixed when the index is made; choose it for the size the corpus will reach (about 16 MB of text each).
-    All batches have the columns of the first.  An id may be inserted once; delete() of ids that the index doesn't hold changes nothing.
+    Shards are split as the corpus grows, so that each is for at most about twice shard_bytes of text.  All batches have the columns of the first.  An id may be
+    inserted once: insert() raises ValueError for a batch with an id that the index holds.  Rows of a batch that repeat an id are one document.  delete() of
+    ids that the index doesn't hold changes nothing.  An index without documents has no decisions.
     """
 
-    def __init__(self, spark, shards: int = 64, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text"):
-        self.spark, self.shards, self.min_chars, self.id_col, self.text_col, self.version = spark, shards, min_chars, id_col, text_col, 0
+    COMPACT_EVERY, FEW = 32, 1_000
+
+    def __init__(self, spark, shards: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES):
+        self.spark, self.shards, self.min_chars, self.id_col, self.text_col, self.shard_bytes = spark, shards, min_chars, id_col, text_col, shard_bytes
         scratch.tune(spark)
-        self.blocks = spark.createDataFrame([], "block long, bytes long, payload binary")
-        self.state = spark.createDataFrame([], _STATE_DDL)
+        self.rest, self.bytes, self.next, self.changes = "struct<none: int>", 0, 0, 0
+        self.blocks, self.state, self.members = (spark.createDataFrame([], ddl) for ddl in (_BLOCK_DDL, _STATE_DDL, "block long, id long"))
 
     def _asked(self, packed: DataFrame) -> DataFrame:
         return packed.select("block", "payload").mapInArrow(_report(self.min_chars, self.shards), blocks.ASK_DDL)
 
+    def _change(self, changes: DataFrame) -> None:
+        changes = scratch.keep(changes, "changes")
+        touched = changes.select("shard").distinct()
+        new = self.state.join(touched, "shard", "left_semi").groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_changed, _STATE_DDL)
+        self.state = self.state.join(touched, "shard", "left_anti").unionAll(scratch.keep(new, "line-shards"))
+        self.changes += 1
+        if not self.changes % self.COMPACT_EVERY:
+            self.state, self.blocks, self.members = scratch.keep(self.state, "line-shards"), scratch.keep(self.blocks, "blocks"), scratch.keep(self.members, "members")
+
     def insert(self, docs: DataFrame) -> None:
-        self.version += 1
+        ids = docs.select(F.col(self.id_col).cast("long").alias("id")).distinct()
+        if not self.members.join(ids, "id", "left_semi").isEmpty():
+            raise ValueError("the index holds a document of this batch already")
         self.rest = blocks.rest_type(docs, self.id_col, self.text_col)
-        more = scratch.keep(blocks.pack(docs, self.id_col, self.text_col).withColumn("block", F.col("block") + F.lit(self.version << 52)), "blocks")
-        merged = self.state.groupBy("shard").cogroup(self._asked(more).groupBy("shard")).applyInArrow(_inserted, _STATE_DDL)
-        self.state, self.blocks = scratch.keep(merged, "line-shards"), self.blocks.unionAll(more)
+        more = scratch.keep(blocks.pack(docs, self.id_col, self.text_col), "blocks")
+        task, number = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+        size = more.agg(F.max(task), F.max(number), F.sum("bytes")).first()
+        if size[0] is None:
+            return
+        more = more.withColumn("block", self.next + task * (size[1] + 1) + number)  # few numbers are left out
+        self.next, self.bytes = self.next + (size[0] + 1) * (size[1] + 1), self.bytes + size[2]
+        while self.bytes > 2 * self.shards * self.shard_bytes:
+            self.shards *= 2
+            self.state = scratch.keep(self.state.mapInArrow(_split(self.shards), _STATE_DDL), "line-shards") if self.changes else self.state
+        self.members = self.members.unionAll(scratch.keep(more.select("block", "payload").mapInArrow(_members, "block long, id long"), "members"))
+        self.blocks = self.blocks.unionAll(more)
+        self._change(self._asked(more).withColumn("sign", F.lit(1)))
 
     def delete(self, ids: DataFrame) -> None:
         """Remove the documents whose ids are in the first column of ids."""
-        where = self.blocks.select("block", "payload").mapInArrow(_members, "block long, id long")
-        gone = where.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi").groupBy("block").agg(F.collect_list("id").alias("gone"))
-        hit = scratch.keep(self.blocks.join(gone, "block"), "changed")
-        out, left = (hit.mapInArrow(lambda it, w=w: _only(it, w), "block long, bytes long, payload binary") for w in (True, False))
-        left = scratch.keep(left, "blocks").unionAll(self.blocks.join(gone, "block", "left_anti"))
-        changes = self._asked(out).withColumn("sign", F.lit(-1)).unionAll(self._asked(left).withColumn("sign", F.lit(1)))
-        self.state = scratch.keep(self.state.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_deleted, _STATE_DDL), "line-shards")
-        self.blocks = scratch.keep(left, "blocks")
+        ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
+        gone = scratch.keep(self.members.join(ids, "id", "left_semi").groupBy("block").agg(F.collect_set("id").alias("gone")), "gone")
+        few = [r.block for r in gone.select("block").limit(self.FEW + 1).collect()]
+        if not few:
+            return
+        here = self.blocks.filter(F.col("block").isin(few)) if len(few) <= self.FEW else self.blocks  # files skip what they need not read
+        hit = scratch.keep(here.join(gone, "block"), "changed")
+        left = scratch.keep(hit.mapInArrow(lambda it: _only(it, False), _BLOCK_DDL), "blocks")
+        self.blocks = self.blocks.join(gone, "block", "left_anti").unionAll(left)
+        self.members = self.members.join(ids, "id", "left_anti")
+        self.bytes -= (hit.agg(F.sum("bytes")).first()[0] or 0) - (left.agg(F.sum("bytes")).first()[0] or 0)
+        self._change(self._asked(hit).withColumn("sign", F.lit(-1)).unionAll(self._asked(left).withColumn("sign", F.lit(1))))
 
     def decisions(self) -> DataFrame:
         """What dedup_lines() returns, for the documents that the index holds."""
@@ -302,14 +343,14 @@ class LineIndex:
 
 
 def _members(batches):
+    """The distinct ids of each block, null left out."""
     for batch in batches:
         for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-            ids = blocks.unpack(payload.as_py()).column("id")
+            ids = blocks.unpack(payload.as_py()).column("id").drop_null().unique()
             yield pa.record_batch({"block": pa.array([block] * len(ids), pa.int64()), "id": ids})
 
 
 def _looked_up(state: pa.Table, asked: pa.Table) -> pa.Table:
     if not asked.num_rows:
         return pa.Table.from_pylist([], schema=blocks.ANSWER)
-    shard, m = Shard.from_row(state.to_pylist()[0]), asked.num_rows
-    return pa.Table.from_batches([blocks.table(blocks.ANSWER, [asked.column("block").to_pylist(), [0] * m, asked.column("shard").to_pylist(), [blocks.zipped(shard.least(k)) for k, _, _ in _questions(asked)]])])
+    return _answers(Shard.from_row(state.to_pylist()[0]), asked, _questions(asked)[0])

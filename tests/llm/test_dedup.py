@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from ledgerlens.llm import near_dedup
+from ledgerlens.llm import blocks, line_dedup, near_dedup
 from ledgerlens.llm.cuckoo import CuckooFilter
 from ledgerlens.llm.line_dedup import LineIndex, dedup_lines
 from ledgerlens.llm.near_dedup import near_duplicates, shingle_sets, sketches
@@ -60,6 +60,49 @@ def test_line_index_is_reversible(spark):
     assert got(index.decisions(), "doc_id", "n_dropped", "kept_text") == [(i, d, t) for i, _, d, t in brute_lines(first[10:])]
 
 
+def test_index_grows_and_changes_only_what_it_touches(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(LineIndex, "COMPACT_EVERY", 3)
+    rows = list({i: t for i, t in random_docs(90, seed=6)}.items())
+    index = LineIndex(spark, shard_bytes=2_000)
+    assert index.decisions().count() == 0
+    index.insert(frame(spark, []))
+    for batch in (rows[:10], rows[10:40], rows[40:]):
+        index.insert(frame(spark, batch))
+    assert index.shards >= 4 and index.blocks.count() > 6
+    assert got(index.decisions(), "doc_id", "n_dropped", "kept_text") == [(i, d, t) for i, _, d, t in brute_lines(rows)]
+    with pytest.raises(ValueError, match="holds a document"):
+        index.insert(frame(spark, rows[5:6]))
+    asked = []
+    monkeypatch.setattr(LineIndex, "_asked", lambda self, packed, f=LineIndex._asked: asked.append(packed.select("block").distinct().count()) or f(self, packed))
+    gone = sorted(rows)[:1]
+    index.delete(spark.createDataFrame([(i,) for i, _ in gone], "id long"))
+    assert asked == [1, 1]  # the document's block before and after
+    monkeypatch.undo()
+    left = [r for r in rows if r not in gone]
+    assert got(index.decisions(), "doc_id", "n_dropped", "kept_text") == [(i, d, t) for i, _, d, t in brute_lines(left)]
+    index.delete(spark.createDataFrame([(i,) for i, _ in rows], "id long"))
+    assert index.decisions().count() == 0 and index.state.count() == 0
+    index.insert(frame(spark, rows[:20]))
+    assert got(index.decisions(), "doc_id", "n_dropped", "kept_text") == [(i, d, t) for i, _, d, t in brute_lines(rows[:20])]
+
+
+@pytest.mark.parametrize("shards", [1, 64, 4_096, 65_536])
+def test_filter_tells_new_keys_however_many_shards(shards):
+    r = np.random.default_rng(shards)
+    keys = np.empty(40_000, line_dedup._KEY)
+    keys["a"] = (r.integers(0, (1 << 32) // shards, 40_000, dtype=np.uint64) << np.uint64(32)) | r.integers(0, 1 << 32, 40_000, dtype=np.uint64)  # all of one shard
+    keys["b"] = r.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2)
+    assert (line_dedup._shard(keys, shards) == 0).all()
+    shard = line_dedup.Shard(0)
+    numbers = np.stack([np.arange(20_000), np.ones(20_000, np.int64), np.arange(20_000)])
+    shard.add(keys[:20_000], numbers)
+    assert shard.filter.contains(keys["b"][:20_000]).all() and shard.filter.contains(keys["b"][20_000:]).mean() < 0.001
+    shard.remove(keys[:5_000], numbers[0, :5_000])
+    assert shard.filter.contains(keys["b"][:5_000]).mean() < 0.001 and shard.table.places(keys[:5_000]).max() == -1
+    assert (shard.least(keys[5_000:20_000]) == numbers[2, 5_000:]).all()
+
+
 def test_cuckoo_filter():
     h = mix(np.arange(20_000, dtype=np.uint64))
     f = CuckooFilter(10_000)
