@@ -70,20 +70,20 @@ class Block:
         return keys, low != high, inverse
 
     def passages(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct passages of the chosen ones (64 and 16 bits), the smallest document of each, and each chosen one's place."""
+        """Sorted distinct passages of the chosen ones (64 and 64 bits), the smallest document of each, and each chosen one's place."""
         at, h = self.at[chosen], self.words.hashes
         one, two = h[at].copy(), h[at].copy()
         for j in range(1, self.n):
             one = one * W._MIX1 + h[at + j]
             two = two * _SECOND + (h[at + j] >> np.uint64(7))
-        one, two, owner = W.mix(one), W.mix(two) >> np.uint64(48), self.owner[chosen]
+        one, two, owner = W.mix(one), W.mix(two), self.owner[chosen]
         order = np.lexsort((owner, two, one))
         one, two, owner = one[order], two[order], owner[order]
         new = np.ones(len(one), dtype=bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         place = np.empty(len(one), np.int64)
         place[order] = np.cumsum(new) - 1
-        return one[new], two[new].astype(np.uint16), owner[new], place
+        return one[new], two[new], owner[new], place
 
 
 def _shared(answers: list[bytes], keys: np.ndarray) -> np.ndarray:
@@ -101,9 +101,8 @@ def _ask_anchors(n: int, k: int, shards: int):
                 keys, several, _ = Block(payload.as_py(), n, k).anchors(shards)
                 shard, at = np.unique(keys >> np.uint64(40), return_index=True)
                 raw = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5]
-                cuts = [*at, len(keys)]
-                for s, a, b in zip(shard.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    yield blocks.table(blocks.ASK, [[block], [s], [raw[a:b].tobytes()], [np.packbits(several[a:b]).tobytes()]])
+                spans = list(zip(at, np.append(at, len(keys))[1:], strict=True))
+                yield blocks.table(blocks.ASK, [[block] * len(spans), shard, [raw[a:b].tobytes() for a, b in spans], [np.packbits(several[a:b]).tobytes() for a, b in spans]])
 
     return ask
 
@@ -137,9 +136,9 @@ def _ask_passages(n: int, k: int, shards: int):
                 keys, _, inverse = found.anchors(shards)
                 one, two, owner, _ = found.passages(_shared(blocks.answers(rows.as_py(), 0), keys)[inverse])
                 shard, at = np.unique((one >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), return_index=True)
-                cuts = [*at, len(one)]
-                for s, a, b in zip(shard.tolist(), cuts[:-1], cuts[1:], strict=True):
-                    yield blocks.table(blocks.ASK, [[block], [s], [one[a:b].tobytes() + two[a:b].tobytes()], [blocks.zipped(owner[a:b])]])
+                spans = list(zip(at, np.append(at, len(one))[1:], strict=True))
+                keys = [one[a:b].tobytes() + two[a:b].tobytes() for a, b in spans]
+                yield blocks.table(blocks.ASK, [[block] * len(spans), shard, keys, [blocks.zipped(owner[a:b]) for a, b in spans]])
 
     return ask
 
@@ -149,10 +148,10 @@ def _answer_passages(table: pa.Table) -> pa.Table:
     one, two, owner, sizes = [], [], [], []
     for keys, extra in zip(table.column("keys"), table.column("extra"), strict=True):
         raw = keys.as_py()
-        c = len(raw) // 10
+        c = len(raw) // 16
         sizes.append(c)
         one.append(np.frombuffer(raw, np.uint64, c))
-        two.append(np.frombuffer(raw, np.uint16, c, 8 * c))
+        two.append(np.frombuffer(raw, np.uint64, c, 8 * c))
         owner.append(blocks.unzip([extra.as_py()]))
     one, two, owner = np.concatenate(one), np.concatenate(two), np.concatenate(owner)
     order = np.lexsort((two, one))
