@@ -125,7 +125,7 @@ def fit(chunks: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = STEPS,
     return net
 
 
-_CHUNKS = pa.schema([("id", pa.int64()), ("chunks", pa.binary())])
+_CHUNKS = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("chunks", pa.binary())])
 
 
 def _whole(batches):
@@ -134,22 +134,27 @@ def _whole(batches):
         for piece in W.pieces(batch, "text"):
             chunks, first = chunked(*W.buffers(piece.column("text")))
             held = [chunks[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.record_batch([piece.column("id"), pa.array(held, pa.binary())], schema=_CHUNKS)
+            yield pa.record_batch([piece.column("id"), piece.column("label"), pa.array(held, pa.binary())], schema=_CHUNKS)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Network:
-    """A network fitted on the whole texts of at most most_rows labelled rows, none of them held out; the driver holds these texts."""
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Network | None:
+    """A network fitted on the whole texts of at most most_rows labelled rows, none of them held out; the driver holds these texts.
+
+    None if there are no such rows: nothing is known then, and every text's probability is 0.5.
+    """
     scratch.tune(docs.sparkSession)
-    rows = training_rows(docs, labels, [label], id_col, text_col, most_rows)
-    held = rows.select("id", "text").mapInArrow(_whole, "id long, chunks binary").join(rows.select("id", label), "id").orderBy("id").toArrow()  # at most most_rows rows
+    rows = training_rows(docs, labels, [label], id_col, text_col, most_rows).select("id", F.col(label).cast("int").alias("label"), "text")
+    held = rows.mapInArrow(_whole, "id long, label int, chunks binary").orderBy("id").toArrow()  # at most most_rows rows
     if not held.num_rows:
-        raise ValueError("there are no labelled rows to learn from")
+        return None
     parts = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, CHUNK) for x in held.column("chunks")]
-    return fit(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.asarray(held.column(label), dtype=float))
+    return fit(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.asarray(held.column("label"), dtype=float))
 
 
-def quality_score(net: Network):
+def quality_score(net: Network | None):
     """A function of a text column that gives each whole text's probability; a null or empty text counts as one chunk of zero bytes."""
+    if net is None:
+        return lambda text: F.lit(0.5)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -159,11 +164,11 @@ def quality_score(net: Network):
     return lambda text: score(text.cast("string"))
 
 
-def score_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score and predicted (1 if score reaches threshold) for each input row.
 
     Whole texts are scored.  A null or empty text is scored as one chunk of zero bytes.  Rows are scored one by one, so repeated
-    rows and further columns make no difference; a null id is not held out.
+    rows and further columns make no difference; a null id is not held out.  Without a network all scores are 0.5.  An empty table gives an empty result.
     """
     scratch.tune(docs.sparkSession)
     out = docs.select(F.col(id_col), quality_score(net)(F.col(text_col)).alias("score"))
