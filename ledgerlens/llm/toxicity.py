@@ -26,8 +26,8 @@ ROUNDS, PENALTY, RATE = 150, 2e-4, 0.2
 
 
 def categories() -> dict[str, Column]:
-    """Abuse in ordinary prose, abuse in junk, and any; from the two labels of a document."""
-    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    """Abuse in ordinary prose, abuse in junk, and any; from the two labels of a document.  One without a quality label counts as ordinary prose."""
+    toxic, good = F.col("toxic") == 1, F.coalesce(F.col("quality") == 1, F.lit(True))
     return {"abusive_prose": toxic & good, "abusive_junk": toxic & ~good, "toxic": toxic}
 
 
@@ -80,8 +80,6 @@ class Chain:
 def fit_chain(ids: np.ndarray, first: np.ndarray, targets: dict[str, np.ndarray], chosen: int = FEATURES) -> Chain:
     """Fit on rows given as distinct hashed words; targets are 0 or 1, in the order of the chain."""
     n = len(first) - 1
-    if not n:
-        raise ValueError("there are no labelled rows to learn from")
     row = np.repeat(np.arange(n), np.diff(first))
     held = np.bincount(ids, minlength=DIMENSIONS)
     best = np.zeros(DIMENSIONS)
@@ -109,30 +107,38 @@ def fit_chain(ids: np.ndarray, first: np.ndarray, targets: dict[str, np.ndarray]
     return Chain(list(targets), column, weights)
 
 
-_FEATURES = pa.schema([("id", pa.int64()), ("words", pa.list_(pa.int32()))])
+def _featured(targets: list[str]):
+    schema = pa.schema([("id", pa.int64()), *((t, pa.int32()) for t in targets), ("words", pa.list_(pa.int32()))])
 
+    def featured(batches):
+        for batch in batches:
+            for piece in W.pieces(batch, "text"):
+                ids, first = features(piece.column("text"))
+                yield pa.record_batch([*(piece.column(c) for c in schema.names[:-1]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], schema=schema)
 
-def _featured(batches):
-    for batch in batches:
-        for piece in W.pieces(batch, "text"):
-            ids, first = features(piece.column("text"))
-            yield pa.record_batch([piece.column("id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], schema=_FEATURES)
+    return featured
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, wanted: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Chain:
-    """A chain fitted on at most most_rows labelled rows, none of them held out."""
+    """A chain fitted on at most most_rows labelled rows, none of them held out.
+
+    The driver holds the distinct words of these rows, DIMENSIONS at most for each, as numbers.  Without such rows the chain knows nothing: all its probabilities are 0.5,
+    which score_toxicity() doesn't flag.
+    """
     scratch.tune(docs.sparkSession)
     wanted = wanted or categories()
     marked = labels.select(id_col, *(c.cast("int").alias(name) for name, c in wanted.items()))
-    rows = training_rows(docs, marked, list(wanted), id_col, text_col, most_rows)
-    held = rows.select("id", "text").mapInArrow(_featured, "id long, words array<int>").join(rows.drop("text"), "id").orderBy("id").toArrow()  # at most most_rows rows
+    rows = training_rows(docs, marked, list(wanted), id_col, text_col, most_rows).select("id", *wanted, "text")
+    held = rows.mapInArrow(_featured(list(wanted)), "id long, " + "".join(f"{t} int, " for t in wanted) + "words array<int>").orderBy("id").toArrow()  # at most most_rows rows
+    if not held.num_rows:
+        return Chain(list(wanted), np.zeros(DIMENSIONS, np.int64), [np.zeros(2 + i) for i in range(len(wanted))])
     lists = held.column("words").combine_chunks()
-    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]) if held.num_rows else np.zeros(1, np.int64)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     return fit_chain(np.asarray(lists.flatten(), dtype=np.int64), first, {c: np.asarray(held.column(c), dtype=float) for c in wanted})
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, p_<category> for each category and flagged (1 if the last one's probability reaches threshold) for each input row.
+    """id_col, p_<category> for each category and flagged (1 if the last one's probability is above threshold) for each input row.
 
     Whole texts are scored.  Null and empty texts have no words and get the model's constant.  Rows are scored one by one, so repeated rows, null ids
     and further columns make no difference.
@@ -151,4 +157,4 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(score, ", ".join(["id long", *(f"{c} double" for c in names)])).withColumnRenamed("id", id_col)
-    return out.withColumn("flagged", (F.col(names[-1]) >= threshold).cast("int"))
+    return out.withColumn("flagged", (F.col(names[-1]) > threshold).cast("int"))

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -59,11 +60,67 @@ def test_whole_texts_are_learned_from(spark, monkeypatch):
         assert np.array_equal(chunks[row == n], wanted)
 
 
-def test_training_needs_rows(spark, tables):
-    with pytest.raises(ValueError, match="no labelled rows"):
-        Q.train_quality(frame(spark, []), tables[1])
-    with pytest.raises(ValueError, match="no labelled rows"):
-        T.train_toxicity(frame(spark, []), tables[1])
+def test_without_labelled_rows_nothing_is_known(spark, tables):
+    for docs, labels in ((frame(spark, []), tables[1]), (frame(spark, EDGES), tables[1].filter("false")), (frame(spark, EDGES), tables[1].withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")}))):
+        net, chain = Q.train_quality(docs, labels), T.train_toxicity(docs, labels)
+        assert {(r.score, r.predicted) for r in Q.score_quality(frame(spark, EDGES), net).collect()} == {(0.5, 0)}
+        assert {(r.p_toxic, r.flagged) for r in T.score_toxicity(frame(spark, EDGES), chain).collect()} == {(0.5, 0)}
+
+
+def test_toxic_rows_without_a_quality_label_are_learned_from(spark):
+    labels = spark.createDataFrame([(i, None if i % 2 else 1, i % 3 == 0) for i in range(40)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    marked = labels.select("doc_id", *(c.cast("int").alias(n) for n, c in T.categories().items()))
+    rows = training_rows(frame(spark, [(i, "text") for i in range(40)]), marked, list(T.categories()), "doc_id", "text", 100).collect()
+    assert {r.id: r.toxic for r in rows} == {i: int(i % 3 == 0) for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_repeated_ids_are_learned_from_in_the_same_way_each_time(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (4, "c")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (4, 0)], "doc_id long, quality int")
+    rows = training_rows(docs, labels, ["quality"], "doc_id", "text", 100).collect()
+    assert {tuple(r) for r in rows} == {(i, t, q) for i, t, q in ((1, "a", 1), (4, "c", 0)) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def brute_probability(net, text):
+    """The forward pass by loops over chunks, filters and bytes."""
+    data, logits = (text or "").encode(), []
+    for begin in range(0, max(1, len(data) - Q.WIDTH + 1), Q.STRIDE):
+        chunk = data[begin : begin + Q.CHUNK].ljust(Q.CHUNK, bytes(1))
+        pooled = []
+        for f in range(Q.FILTERS):
+            values = [sum(float(net.embed[chunk[p + k]][e]) * float(net.filters[k * Q.EMBED + e][f]) for k in range(Q.WIDTH) for e in range(Q.EMBED)) for p in range(Q.CHUNK - Q.WIDTH + 1)]
+            pooled.append(math.tanh(max(values) + float(net.bias[f])))
+        hidden = [math.tanh(sum(v * float(net.hidden[f][j]) for f, v in enumerate(pooled)) + float(net.hidden_bias[j])) for j in range(Q.HIDDEN)]
+        logits.append(sum(v * float(net.out[j]) for j, v in enumerate(hidden)) + float(net.out_bias[0]))
+    return 1 / (1 + math.exp(-sum(logits) / len(logits)))
+
+
+def test_network_by_brute_force():
+    net, r = Q.Network.new(3), np.random.default_rng(3)
+    net.bias, net.hidden_bias, net.out_bias = (r.standard_normal(x.shape).astype(np.float32) for x in (net.bias, net.hidden_bias, net.out_bias))
+    texts = ["", None, "short", "é" * 130, "word and words " * 40]
+    wanted = [brute_probability(net, t) for t in texts]
+    assert np.allclose(Q.probabilities(net, pa.array(texts)), wanted, atol=1e-4)
+
+
+def brute_chain(chain, text):
+    """Category by category, word by word."""
+    words = T.normal_words(pa.array([text]))
+    known = {int(chain.column[int(h) >> 46]) for h in words.hashes} - {-1}
+    width, logits = int(chain.column.max()) + 1, []
+    for w in chain.weights:
+        z = w[-1] + sum(w[c] for c in known) + sum(a * b for a, b in zip(logits, w[width:-1], strict=True))
+        logits.append(min(8.0, max(-8.0, z)))
+    return [1 / (1 + math.exp(-z)) for z in logits]
+
+
+def test_chain_by_brute_force():
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 60, r.integers(0, 30))) for _ in range(300)]
+    y = np.array([("w7" in t.split()) * 1.0 for t in texts])
+    ids, first = T.features(pa.array(texts))
+    chain = T.fit_chain(ids, first, {"a": y, "b": np.array([("w9" in t.split()) * 1.0 for t in texts]), "c": 1 - y}, chosen=20)
+    assert np.allclose(chain.scores(ids, first), [brute_chain(chain, t) for t in texts], atol=1e-9)
 
 
 def test_chunks_cover_every_window():
