@@ -177,6 +177,39 @@ def test_near_in_small_groups(spark, monkeypatch):
     assert got(near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_near(rows)
 
 
+def test_only_some_documents(spark):
+    rows = near_docs(12, 4)
+    some = rows[::2]
+    out = near_duplicates(frame(spark, rows), only=frame(spark, some + some[:1] + [(None, "x"), (-1, "y")]))
+    assert got(out, "doc_id", "n_shingles", "component_id") == brute_near(some)
+
+
+def test_few_similar_pairs_are_lost():
+    """Generated pairs of similarity 0.75 to 0.8, sets of 3 to 500: they share a bucket, pass the estimate, and share bands of other coordinates."""
+    import pyarrow as pa
+
+    r, texts = np.random.default_rng(2), []
+    for _ in range(3_000):
+        both = int(r.choice([3, 4, 6, 9, 20, 60, 150, 375]))
+        own = r.multinomial(both // 3 - r.integers(0, 1 + both // 60), [0.5, 0.5])
+        common = r.integers(0, 1 << 60, both)
+        texts += [" ".join(map(str, [*common, *r.integers(0, 1 << 60, n)])) for n in own]
+    sets = split(pa.array(texts))
+    values, first = shingle_sets(sets, 1)
+    bins = sketches(values, first, 128)
+    a, b, sizes = bins[::2], bins[1::2], np.diff(first)
+    same = a == b
+    jaccard = np.array([len(np.intersect1d(values[first[i] : first[i + 1]], values[first[i + 1] : first[i + 2]])) for i in range(0, len(sizes), 2)])
+    jaccard = jaccard / (sizes[::2] + sizes[1::2] - jaccard)
+    near = jaccard >= 0.75
+    assert near.sum() == 3_000 and (jaccard[near] <= 0.81).all()
+    banded = same.reshape(-1, 32, 4).all(axis=2).any(axis=1)
+    shifted = np.roll(same, -2, axis=1).reshape(-1, 32, 4).all(axis=2).any(axis=1)
+    apart = same.reshape(-1, 4, 32).all(axis=1).any(axis=1)
+    for found in (banded, shifted, apart, same.mean(axis=1) >= 0.75 - near_dedup.MARGIN):
+        assert found[near].mean() > 0.9985
+
+
 def test_every_coordinate_fills_and_estimates():
     import pyarrow as pa
 
