@@ -42,11 +42,17 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what keep() has written; results that still read it must have been stored before."""
+def kept() -> list[str]:
+    """The paths that keep() has written and release() has not deleted."""
+    return list(_kept)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete what keep() has written, or of that the given paths; results that still read it must have been stored before."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _kept:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+    for name in _kept[::-1] if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        _kept.remove(name)
         with contextlib.suppress(Exception):
             path.getFileSystem(hadoop).delete(path, True)
 
