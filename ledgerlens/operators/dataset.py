@@ -8,12 +8,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Columns that are no features.
 NOT_FEATURES = {
     "customer_id", "event_id", "event_dttm", "target", "is_train", "mcc_code", "accept_language", "browser_language", "battery",
     "device_system_version", "screen_size", "developer_tools", "compromised", "model_group",
 }
 SEED, RATIO = 42, 0.05
-RANGES = 4096
+DIGITS = 4
+RANGES = 16**DIGITS
 
 
 def split_of(cutoff: str, end: str) -> Column:
@@ -44,7 +46,7 @@ def undersample(df: DataFrame, ratio: float | None = RATIO, seed: int = SEED) ->
     if ratio is None:
         return df
     digest = F.md5(F.concat_ws(":", F.col("event_id").cast("string"), F.lit(str(seed))))
-    bucket = F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int")
+    bucket = F.conv(F.substring("_digest", 1, DIGITS), 16, 10).cast("int")
     keyed = df.withColumn("_digest", digest).withColumn("_range", bucket)
     negatives = keyed.filter("target = 0")
     counts = negatives.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES rows
@@ -64,18 +66,30 @@ def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split", "model_group").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("is_labeled").alias("n_labeled"), F.sum("target").alias("n_positive"))
 
 
+def split_problems(counts: DataFrame) -> DataFrame:
+    """(split, problem) for an empty training, validation or test part, and for a validation part without positives."""
+    n = lambda part: F.coalesce(F.sum(F.when(F.col("split") == part, F.col("n_rows"))), F.lit(0))
+    good = F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("n_positive"))), F.lit(0))
+    said = [F.when(n(part) == 0, F.struct(F.lit(part).alias("split"), F.lit(f"the {part} part has no rows").alias("problem"))) for part in ("train", "val", "test")]
+    said.append(F.when((n("val") > 0) & (good == 0), F.struct(F.lit("val").alias("split"), F.lit("the val part has no positives").alias("problem"))))
+    return counts.agg(F.array_compact(F.array(*said)).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 def check_splits(counts: DataFrame) -> None:
     """Raise if the training or validation part is empty, validation has no positives, or there is nothing to score."""
-    found = {r["split"]: r for r in counts.groupBy("split").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_positive").alias("n_positive")).collect()}
-    for part in ("train", "val", "test"):
-        if part not in found:
-            raise ValueError(f"the {part} part has no rows")
-    if not found["val"]["n_positive"]:
-        raise ValueError("the val part has no positives")
-
-
-def assemble(df: DataFrame, columns: list[str], missing: float = -999.0) -> DataFrame:
-    """df with a vector column features; nulls, NaN and infinities become a constant that trees can split off."""
-    filled = {f"_f_{c}": F.when(F.col(c).isNull() | ~(F.abs(F.col(c).cast("double")) < float("inf")), F.lit(missing)).otherwise(F.col(c).cast("double")) for c in columns}
-    out = VectorAssembler(inputCols=list(filled), outputCol="features").transform(df.withColumns(filled))
-    return out.drop(*filled)
+    for row in split_problems(counts).collect():  # four at most
+        raise ValueError(row["problem"])
+
+
+def assemble(df: DataFrame, columns: list[str], missing: float = -999.0, indicators: bool = False) -> DataFrame:
+    """df with a vector column features; nulls, NaN and infinities become a constant that trees can split off.
+
+    With indicators a second half of the vector tells for each column whether the value is missing (null or NaN), so that missing values differ from
+    infinities and from values that equal the constant.
+    """
+    x = lambda c: f"cast(`{c}` AS double)"
+    cells = {f"_f_{c}": F.expr(f"CASE WHEN abs({x(c)}) < double('infinity') THEN {x(c)} ELSE {missing!r}D END") for c in columns}
+    if indicators:
+        cells |= {f"_m_{c}": F.expr(f"CASE WHEN {x(c)} IS NULL OR isnan({x(c)}) THEN 1D ELSE 0D END") for c in columns}
+    out = VectorAssembler(inputCols=list(cells), outputCol="features").transform(df.withColumns(cells))
+    return out.drop(*cells)

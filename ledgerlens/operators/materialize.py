@@ -3,31 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.sources.files import write_parquet
 
+from .ranks import id_levels, with_before
 from .stats import Stats
 
 IDS = ("customer_id", "event_id", "session_id")
-RANGE = 1_000_000
 
 
 def customer_buckets(tx: DataFrame, n_buckets: int) -> DataFrame:
     """(customer_id, bucket): contiguous chunks of ceil(customers / n_buckets) sorted ids; none for an empty table.
 
-    A customer's place is the number of customers in smaller ranges of ids, from a small table of counts, plus its place in its own
-    range; so no task sees all customers.
+    A customer's place is the number of customers with smaller ids, from counts of ranges of ids; no task sees all customers, however sparse the ids are.
     """
     if n_buckets < 1:
         raise ValueError("n_buckets must be positive")
-    ids = tx.select("customer_id").distinct().withColumn("_range", F.floor(F.col("customer_id") / RANGE))
-    counts = ids.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy("customer_id")) - 1 + F.col("_before")
-    return ids.join(before, "_range").select("customer_id", F.floor(place / F.ceil(F.col("_all") / n_buckets)).cast("int").alias("bucket"))
+    ids, levels = tx.filter("customer_id IS NOT NULL").select("customer_id").distinct().withColumn("_n", F.lit(1).cast("long")), id_levels("customer_id")
+    placed = with_before(ids.withColumns(levels), [*levels, "customer_id"], ["_n"])
+    return placed.select("customer_id", F.floor(F.col("_before__n") / F.ceil(F.col("_all__n") / n_buckets)).cast("int").alias("bucket"))
 
 
 def in_bucket(tx: DataFrame, buckets: DataFrame, bucket: int) -> DataFrame:

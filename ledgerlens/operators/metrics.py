@@ -3,27 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PERCENTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+from .ranks import score_levels, with_before
 
+PERCENTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
-def thresholds(scored: DataFrame) -> DataFrame:
-    """For each distinct score: true and false positives when everything from it upwards is predicted positive.  Null and NaN scores are left out.
 
-    Running sums are taken within ranges of a thousandth of the score's domain and completed from the ranges' totals, so equal
-    and close scores meet but no task sees all scores.
-    """
+def _points(scored: DataFrame) -> DataFrame:
+    """Each distinct score with positives and rows, those with smaller scores before it and those of all.  Null and NaN scores are left out."""
     known = scored.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    points = known.groupBy("score").agg(F.sum("target").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("_range", F.floor(F.col("score") * 1000))
-    ranges = points.groupBy("_range").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))
-    above = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy()
-    ranges = ranges.select("_range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("_n"), F.sum("rp").over(whole).alias("positives"))
-    inner = W.partitionBy("_range").orderBy(F.desc("score"))
-    df = points.withColumns({"_ip": F.sum("pos").over(inner), "_in": F.sum("n").over(inner)}).join(ranges, "_range")
-    return df.select("score", "pos", "n", (F.col("_tp") + F.col("_ip")).alias("tp"), (F.col("_n") + F.col("_in") - F.col("_tp") - F.col("_ip")).alias("fp"), "positives")
+    points = known.groupBy("score").agg(F.sum("target").alias("pos"), F.count(F.lit(1)).alias("n"))
+    levels = score_levels()
+    return with_before(points.withColumns(levels), [*levels, "score"], ["pos", "n"])
+
+
+def thresholds(scored: DataFrame) -> DataFrame:
+    """For each distinct score: true and false positives when everything from it upwards is predicted positive.  Null and NaN scores are left out."""
+    df = _points(scored).withColumn("tp", F.col("_all_pos") - F.col("_before_pos"))
+    return df.select("score", "pos", "n", "tp", (F.col("_all_n") - F.col("_before_n") - F.col("tp")).alias("fp"), F.col("_all_pos").alias("positives"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -55,9 +53,15 @@ def classification_report(scored: DataFrame, threshold: DataFrame) -> DataFrame:
 
 
 def score_percentiles(scored: DataFrame) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row each."""
-    found = scored.agg(F.percentile("score", F.array(*(F.lit(p) for p in PERCENTILES))).alias("v"))
-    return found.select(F.posexplode("v").alias("i", "score")).select((F.element_at(F.array(*(F.lit(int(100 * p)) for p in PERCENTILES)), F.col("i") + 1)).alias("pct"), "score")
+    """Exact percentiles with linear interpolation, one row each; null without scores.  Null and NaN scores are left out.
+
+    A percentile lies between the scores of two ranks, which the numbers of smaller scores tell; no task sees all scores.
+    """
+    points, place = _points(scored), lambda p: F.lit(p) * (F.col("_all_n") - 1)
+    at = lambda rank: F.max(F.when((F.col("_before_n") <= rank) & (rank < F.col("_before_n") + F.col("n")), F.col("score")))
+    found = [F.struct(F.lit(int(100 * p)).alias("pct"), at(F.floor(place(p))).alias("a"), at(F.ceil(place(p))).alias("b"), F.max(place(p) - F.floor(place(p))).alias("w")) for p in PERCENTILES]
+    rows = points.agg(F.array(*found).alias("v")).select(F.explode("v").alias("r")).select("r.*")
+    return rows.select("pct", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("score"))
 
 
 def duplicate_check(ids: DataFrame, column: str = "event_id") -> DataFrame:

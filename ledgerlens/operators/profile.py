@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.files import write_csv
+
 GROUP = "tx_type_group"
 GROUPS = {0: "nonpayment", 1: "card", 2: "p2p"}
 
@@ -49,7 +51,22 @@ def grouped_rates(tx: DataFrame, labelled: DataFrame, keys: list[str], label_key
 
 
 def within_group_stats(tx: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
-    return grouped_rates(tx, labelled, [GROUP, key])
+    """Volumes and rates of a key's values by group: groups ascending, within them the largest volumes first, ties by value."""
+    return grouped_rates(tx, labelled, [GROUP, key]).orderBy(F.asc(GROUP), F.desc("volume"), F.asc(key))
+
+
+def group_volumes(stats: DataFrame) -> DataFrame:
+    """The total volume of each of the three groups, 0 for one without rows, from a table with volumes by group."""
+    total = stats.groupBy(GROUP).agg(F.sum("volume").alias("total_volume"))
+    names = F.array(*(F.struct(F.lit(g).alias(GROUP), F.lit(name).alias("group_name")) for g, name in GROUPS.items()))
+    every = stats.sparkSession.range(1).select(F.explode(names).alias("g")).select("g.*")
+    return every.join(total, GROUP, "left").select(GROUP, "group_name", F.coalesce("total_volume", F.lit(0)).alias("total_volume"))
+
+
+def export(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each profile as a CSV table below the folder; an earlier one is replaced."""
+    for name, table in tables.items():
+        write_csv(table.coalesce(1), f"{folder}/{name}")  # a profile is a report of few rows
 
 
 def pair_stats(tx: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ and shuffles if it is not.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -70,8 +71,8 @@ class Stats:
             table.write.mode("overwrite").parquet(f"{folder}/{key}")
 
     @classmethod
-    def load(cls, spark, folder: str, with_labels: bool = True) -> Stats:
-        keys = [*COUNTS, *AMOUNTS, *([*ENCODINGS, "global_fraud_rate"] if with_labels else [])]
+    def load(cls, spark, folder: str, with_labels: bool = True, only: Collection[str] | None = None) -> Stats:
+        keys = [t for t in (*COUNTS, *AMOUNTS, *([*ENCODINGS, "global_fraud_rate"] if with_labels else [])) if only is None or t in only]
         return cls({key: spark.read.parquet(f"{folder}/{key}") for key in keys})
 
     def release(self) -> None:
@@ -87,26 +88,29 @@ def _sets(df: DataFrame, sets: list[tuple[str, ...]], *aggregates) -> tuple[Data
 
 
 def labelled(tx: DataFrame, labels: DataFrame) -> DataFrame:
-    """Transactions with a label, joined on customer and event if the labels have both."""
+    """Transactions with a label, joined on customer and event if the labels have both; of repeated labels the largest counts."""
     keys = [c for c in ("customer_id", "event_id") if c in labels.columns]
-    return tx.join(labels.select(*keys, "target"), keys)
+    return tx.join(labels.groupBy(*keys).agg(F.max("target").alias("target")), keys)
 
 
-def compute_stats(tx: DataFrame, labels: DataFrame | None = None, alpha: float = ALPHA, as_of: str | None = None) -> Stats:
-    """All tables; those of labels only if there are any.  as_of: only events before that time count."""
+def compute_stats(tx: DataFrame, labels: DataFrame | None = None, alpha: float = ALPHA, as_of: str | None = None, only: Collection[str] | None = None) -> Stats:
+    """All tables, or only some; those of labels only if there are any.  as_of: only events before that time count."""
     if as_of is not None:
         tx = tx.filter(F.col("event_dttm") < F.lit(as_of).cast("timestamp_ntz"))
     amount = X.nz("operaton_amt", 0.0)
-    sets = list(dict.fromkeys([k for k, _ in COUNTS.values()] + [(k,) for k, _ in AMOUNTS.values()]))
-    every, number = _sets(tx, sets, F.count(F.lit(1)).alias("n"), F.avg(amount).alias("mean"), F.stddev_samp(amount).alias("std"))
-    every = every.persist()
-    every.count()
-    tables = {t: every.filter(F.col("_set") == number[keys]).select(*keys, F.col("n").alias(out)) for t, (keys, out) in COUNTS.items()}
-    tables |= {t: every.filter(F.col("_set") == number[(key,)]).select(key, F.col("mean").alias(f"{out}_mean"), F.col("std").alias(f"{out}_std")) for t, (key, out) in AMOUNTS.items()}
-    kept = [every]
-    if labels is not None:
+    some = lambda tables: {t: v for t, v in tables.items() if only is None or t in only}
+    counts, amounts, encodings = some(COUNTS), some(AMOUNTS), some(ENCODINGS)
+    tables, kept = {}, []
+    if sets := list(dict.fromkeys([k for k, _ in counts.values()] + [(k,) for k, _ in amounts.values()])):
+        every, number = _sets(tx, sets, F.count(F.lit(1)).alias("n"), F.avg(amount).alias("mean"), F.stddev_samp(amount).alias("std"))
+        every = every.persist()
+        every.count()
+        kept.append(every)
+        tables |= {t: every.filter(F.col("_set") == number[keys]).select(*keys, F.col("n").alias(out)) for t, (keys, out) in counts.items()}
+        tables |= {t: every.filter(F.col("_set") == number[(key,)]).select(key, F.col("mean").alias(f"{out}_mean"), F.col("std").alias(f"{out}_std")) for t, (key, out) in amounts.items()}
+    if labels is not None and (encodings or only is None or "global_fraud_rate" in only):
         rows = labelled(tx, labels).withColumn("tx_type_group", tx_type_group())
-        found, number = _sets(rows, [*(k for k, _ in ENCODINGS.values()), ()], F.sum("target").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
+        found, number = _sets(rows, [*dict.fromkeys(k for k, _ in encodings.values()), ()], F.sum("target").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("n"))
         found = found.persist()
         found.count()
         kept.append(found)
@@ -114,7 +118,7 @@ def compute_stats(tx: DataFrame, labels: DataFrame | None = None, alpha: float =
         tables["global_fraud_rate"] = total
         rate = (total.first() or [None])[0]  # one number, of a table that is in memory
         smooth = (F.col("bad") + alpha * F.lit(rate)) / (F.col("n") + alpha)
-        tables |= {t: found.filter(F.col("_set") == number[keys]).select(*keys, smooth.alias(out)) for t, (keys, out) in ENCODINGS.items()}
+        tables |= {t: found.filter(F.col("_set") == number[keys]).select(*keys, smooth.alias(out)) for t, (keys, out) in encodings.items()}
     return Stats(tables, kept)
 
 

@@ -16,14 +16,14 @@ NEEDS = [("n", "session_id"), ("n", *PAIR), ("days",), ("days", "mcc_code"), *((
 
 
 def zscore_features(df: DataFrame, stats: Stats | None = None) -> DataFrame:
-    """21 columns; needs temporal_features().  Without tables the baselines are the customer's own."""
+    """21 columns; needs temporal_features().  Without a table its baseline is the customer's own."""
     df, c, amount = with_history(df, NEEDS), F.col, F.col("amount_clean")
     for short, key in BASES.items():
-        if stats:
+        if stats and f"{short}_stats_global" in stats:
             df = look_up(df, stats[f"{short}_stats_global"], (key,))
         else:
             df = df.withColumns({f"{short}_mean": h("mean", key), f"{short}_std": h("std", key)})
-    if stats:
+    if stats and "combination_global" in stats:
         df = look_up(df, stats["combination_global"], PAIR).withColumn("global_combination_freq", X.nz("global_combination_freq", 0))
     else:
         df = df.withColumn("global_combination_freq", h("n", *PAIR))

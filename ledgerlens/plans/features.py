@@ -11,15 +11,19 @@ from ledgerlens.operators.history import with_history
 from ledgerlens.operators.stats import Stats, with_lookups
 
 KEYS_AT_ONCE = 6
+PART_BYTES, GROWTH = 128 << 20, 10
 
 
 def by_customer(tx: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Hash-partitioned by customer, into spark.sql.shuffle.partitions parts unless told otherwise.
+    """Hash-partitioned by customer, unless told otherwise into as many parts as the tables that tx reads need, or spark.sql.shuffle.partitions if that is more.
 
     With a stated number adaptive execution doesn't merge parts: it goes by the size of the raw rows, and the rows grow more than
     tenfold on this partitioning.
     """
-    return tx.repartition(partitions or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), "customer_id")
+    if partitions is None:
+        size = int(str(tx._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate, from the files' sizes
+        partitions = max(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size * GROWTH // PART_BYTES))
+    return tx.repartition(partitions, "customer_id")
 
 
 def with_all_windows(df: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import expr as X
@@ -68,20 +70,31 @@ def _shown(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("event_id", *(X.finite(c).alias(c) for c in columns))
 
 
-def _features(name: str, columns: list[str], upto: str, with_stats: bool = False, source: str | None = None) -> None:
-    """A query of some columns of the feature sections up to one; only the windows that they need are evaluated."""
+_held: list[stats.Stats] = []
+
+
+def _stats(data: Data, only: list[str] | None = None, **options) -> stats.Stats:
+    """Statistics, kept in memory until the next query's."""
+    while _held:
+        _held.pop().release()
+    _held.append(stats.compute_stats(data.tx, data.labels, only=only, **options))
+    return _held[0]
+
+
+def _features(name: str, columns: list[str], upto: str, tables: list[str] | None = None, source: str | None = None) -> None:
+    """A query of some columns of the feature sections up to one; only the windows that they need are evaluated, and only the named tables of statistics are made and joined."""
     steps = [("B", behavior.behavior_features), ("D", rolling.rolling_features), ("E", device.device_features), ("F", temporal.temporal_features), ("G", zscore.zscore_features), ("H", category.category_features)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = Data(spark, sf_dir)
-        found = stats.compute_stats(data.tx, data.labels) if with_stats else None
+        found = _stats(data, tables) if tables else None
         df = by_customer(data.base())
         for letter, step in steps:
             if letter <= upto:
                 df = step(df, found) if letter in "FGH" else step(df)
         return _shown(transaction.risk_features(df) if upto >= "J" else df, columns)
 
-    _add(name, run, O.features_sql(columns, source or ("features" if with_stats else "two")))
+    _add(name, run, O.features_sql(columns, source or ("features" if tables else "two")))
 
 
 # ---- scans, predicates and scalar columns
@@ -115,11 +128,12 @@ _features("prior_mean", [v[1] for v in O._CAT.values()] + ["amount_zscore_given_
 _features("prior_std", [v[2] for v in O._CAT.values()] + [f"amount_zscore_given_{s}" for s in ("event_desc", "event_type", "subchannel", "pos", "tx_type")], "H")
 _features("category_novelty", [c for c in O.ONE if c.endswith("_combo")] + ["is_new_subchannel_for_user", "tx_count_in_subchannel_lifetime", "subchannel_usage_share", "tx_count_in_tx_type_lifetime", "tx_type_usage_share", "channel_indicator_sub_type_log_count"], "H")
 _features("composite_flags", ["device_change_and_large_amount_flag", "voip_and_new_mcc_flag", "compromised_and_high_amount_flag", "session_first_tx_flag", "session_first_tx_large_flag", "rapid_sequence_flag", "device_entropy_ratio", "new_device_and_night_flag", "rdp_and_large_amount_flag", "velocity_change_flag", "new_device_flag", "new_mcc_flag", "new_channel_flag", "merchant_entropy_user"], "G")
-_features("global_freq_lookup", [o for _, o in O._FREQ.values()] + ["mcc_rare_global_flag"], "G", with_stats=True)
-_features("zscore_global", ["amount_zscore_channel", "amount_zscore_mcc", "suspicious_env_flag", "time_gap_cv_30d"], "G", with_stats=True)
-_features("combination_freq", ["global_combination_freq", "rare_combination_flag"], "G", with_stats=True)
-_features("category_global_zscore", [f"amount_zscore_{s}_global" for s in ("event_desc", "event_type", "subchannel", "pos")] + ["global_subchannel_freq"], "H", with_stats=True)
-_features("target_encoding_apply", list(O._ENC), "H", with_stats=True)
+_features("global_freq_lookup", [o for _, o in O._FREQ.values()] + ["mcc_rare_global_flag"], "G", list(temporal.FREQUENCIES))
+_features("zscore_global", ["amount_zscore_channel", "amount_zscore_mcc", "suspicious_env_flag", "time_gap_cv_30d"], "G", ["channel_stats_global", "mcc_stats_global"])
+_features("combination_freq", ["global_combination_freq", "rare_combination_flag"], "G", ["combination_global"])
+_SCORES = [*(f"amount_zscore_{s}_global" for s in ("event_desc", "event_type", "subchannel", "pos")), "global_subchannel_freq"]
+_add("category_global_zscore", lambda s, d: _shown(category.global_scores((x := Data(s, d)).base(), _stats(x, [*category.GLOBAL_SCORES.values(), "subchannel_global"])), _SCORES), O.features_sql(_SCORES, "features"))
+_add("target_encoding_apply", lambda s, d: _shown(category.target_encodings((x := Data(s, d)).base(), _stats(x, [*stats.ENCODINGS, "global_fraud_rate"])), list(O._ENC)), O.features_sql(list(O._ENC), "features"))
 for _period in X.PERIODS:
     _columns = list(O.window(_period))
     _add(f"rolling_{_period}", lambda s, d, p=_period, c=_columns: _shown(rolling.with_windows(Data(s, d).base(), [p]), c), O.features_sql(_columns, "one"))
@@ -128,7 +142,7 @@ for _period in X.PERIODS:
 @_query(O.features_sql(O.FEATURES))
 def feature_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = Data(spark, sf_dir)
-    built = build_features(data.tx, stats.compute_stats(data.tx, data.labels))
+    built = build_features(data.tx, _stats(data))
     return _shown(built, engineered(data.tx, built))
 
 
@@ -157,6 +171,7 @@ def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- statistics
 
+_SINGLE = [t for t, (k, _) in stats.COUNTS.items() if len(k) == 1]
 _FREQ_SQL = " UNION ALL ".join(f"SELECT '{t}' AS name, {k[0]}::VARCHAR AS key, count(*) AS n FROM grouped GROUP BY 2" for t, (k, _) in stats.COUNTS.items() if len(k) == 1)
 
 
@@ -170,19 +185,30 @@ def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
 
 @_query(_with(f"SELECT * FROM ({_FREQ_SQL})"))
 def freq_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.compute_stats(Data(spark, sf_dir).tx)
-    return _stacked({t: found[t].select(F.col(k[0]).cast("string").alias("key"), F.col(o).alias("n")) for t, (k, o) in stats.COUNTS.items() if len(k) == 1})
+    return _frequencies(_stats(Data(spark, sf_dir), _SINGLE))
+
+
+def _frequencies(found: stats.Stats) -> DataFrame:
+    return _stacked({t: found[t].select(F.col(stats.COUNTS[t][0][0]).cast("string").alias("key"), F.col(stats.COUNTS[t][1]).alias("n")) for t in _SINGLE})
+
+
+@_query(_with(f"SELECT * FROM ({_FREQ_SQL})"))
+def stats_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies as they were saved and loaded again."""
+    path = _shared(spark, "stats")
+    _stats(Data(spark, sf_dir), _SINGLE).save(path)
+    return _frequencies(stats.Stats.load(spark, path, only=_SINGLE))
 
 
 @_query(_with("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, {k}::VARCHAR AS key, {O.finite('avg(amount_clean)')} AS mean, {O.finite('stddev_samp(amount_clean)')} AS std FROM grouped GROUP BY 2" for t, (k, _) in stats.AMOUNTS.items()) + ")"))
 def amount_stats_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.compute_stats(Data(spark, sf_dir).tx)
+    found = _stats(Data(spark, sf_dir), list(stats.AMOUNTS))
     return _stacked({t: found[t].select(F.col(k).cast("string").alias("key"), X.finite(f"{o}_mean").alias("mean"), X.finite(f"{o}_std").alias("std")) for t, (k, o) in stats.AMOUNTS.items()})
 
 
 @_query(_with("SELECT channel_indicator_type, operating_system_type, count(*) AS global_combination_freq FROM grouped GROUP BY 1, 2"))
 def combination_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.compute_stats(Data(spark, sf_dir).tx)["combination_global"]
+    return _stats(Data(spark, sf_dir), ["combination_global"])["combination_global"]
 
 
 def _encoding(name: str, tables: list[str]) -> None:
@@ -195,7 +221,7 @@ def _encoding(name: str, tables: list[str]) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = Data(spark, sf_dir)
-        found = stats.compute_stats(data.tx, data.labels)
+        found = _stats(data, tables)
         return _stacked({t: found[t].select(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in stats.ENCODINGS[t][0])).alias("key"), X.finite(stats.ENCODINGS[t][1]).alias("enc")) for t in tables})
 
     _add(name, run, f"WITH {O.TX}, {rate} SELECT * FROM ({sql})")
@@ -208,8 +234,7 @@ _encoding("target_enc_within_group", ["channel_type_within_group_te", "channel_s
 
 @_query(_with(f"SELECT {O.finite('sum(target)::DOUBLE / count(*)')} AS global_fraud_rate FROM labelled"))
 def global_fraud_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = Data(spark, sf_dir)
-    return stats.compute_stats(data.tx, data.labels)["global_fraud_rate"].select(X.finite("global_fraud_rate").alias("global_fraud_rate"))
+    return _stats(Data(spark, sf_dir), ["global_fraud_rate"])["global_fraud_rate"].select(X.finite("global_fraud_rate").alias("global_fraud_rate"))
 
 
 # ---- label joins, splits, sampling
@@ -270,28 +295,78 @@ def feature_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in dataset.feature_columns(Data(spark, sf_dir).tx.schema)], "feature string")
 
 
-@_query()
+_WRITTEN = ", ".join(f"{O.finite(f'{c}::FLOAT')} AS {c}" for c in O.FEATURES)
+_FOUR = _BUCKETS.replace("7.0", "4.0")
+
+
+@_query(f"WITH {O.CHAIN}, {_FOUR} SELECT event_id, bucket, {_WRITTEN} FROM features JOIN buckets USING (customer_id) WHERE is_train = 1")
 def bucketed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table, with what comes from statistics, as it was written, from all buckets."""
-    data, path = Data(spark, sf_dir), f"{_shared(spark)}/features"
-    materialize.write_features(data.tx, path, 4, stats.compute_stats(data.tx, data.labels), train_only=True)
-    return files.read_parquet(spark, path)
+    """The feature table in narrow types, with what comes from statistics, as it was written, from all buckets."""
+    data, path = Data(spark, sf_dir), _shared(spark, "features")
+    materialize.write_features(data.tx, path, 4, _stats(data), train_only=True)
+    df = files.read_parquet(spark, path)
+    return df.select("event_id", "bucket", *(X.finite(c).alias(c) for c in O.FEATURES))
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='ledgerlens-')}/{spark.sparkContext.applicationId}"
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the driver and all executors share; in local mode without one, of a folder of the driver."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/ledgerlens-tables"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-@_query()
+_MATRIX = sorted({*_FEATURE_COLUMNS, *O.FEATURES} - dataset.NOT_FEATURES)
+_DIGEST = " + ".join(f"{1 + i % 97} * coalesce({O.finite(c)}, -999)" for i, c in enumerate(_MATRIX))
+
+
+@_query(f"WITH {O.CHAIN} SELECT event_id, {2 * len(_MATRIX)} AS width, {_DIGEST} AS digest FROM features")
 def assemble_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of the feature build: width, first cell, and a hash of all cells."""
+    """The vectors of the feature build with its missing-value indicators: the width, and a weighted sum of all features' cells."""
     from pyspark.ml.functions import vector_to_array
 
     data = Data(spark, sf_dir)
-    built = build_features(data.tx, stats.compute_stats(data.tx, data.labels))
-    cells = dataset.assemble(built, dataset.feature_columns(built.schema)).select("event_id", vector_to_array("features").alias("cells"))
-    return cells.select("event_id", F.size("cells").alias("width"), F.col("cells")[0].alias("first"), F.xxhash64("cells").alias("digest"))
+    built = build_features(data.tx, _stats(data))
+    columns = dataset.feature_columns(built.schema)
+    cells = dataset.assemble(built, columns, indicators=True).select("event_id", vector_to_array("features").alias("cells"))
+    parts = cells.select("event_id", F.size("cells").alias("width"), *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))).select("event_id", "width", *(X.finite(c).alias(c) for c in columns))
+    return parts.select("event_id", "width", F.expr(" + ".join(f"{1 + i % 97} * `{c}`" for i, c in enumerate(sorted(columns)))).alias("digest"))
+
+
+@_query("SELECT event_id, value FROM events")
+def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is built once, and found the second time by the text that describes it."""
+    path, calls = _shared(spark, "matrix"), []
+    build = lambda: calls.append(1) or files.read_parquet(spark, f"{sf_dir}/events.parquet", columns=["event_id", "value"])
+    for meta in ("other columns", "event_id, value", "event_id, value"):
+        df = files.cached(spark, path, meta, build)
+    if len(calls) != 2:
+        raise ValueError("a cached table was built again")
+    return df
+
+
+@_query("SELECT unnest(['model', 'model_ver_1', 'model_ver_2']) AS folder")
+def archived_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What saving three times under one name leaves: the last result, and the earlier ones under numbered names."""
+    folder, names = f"{_shared(spark, 'models')}/model", ["model"]
+    for n in range(3):
+        if (old := files.archive(spark, folder)) is not None:
+            names.append(old.rpartition("/")[2])
+        files.write_parquet(spark.range(n), folder)
+    return spark.createDataFrame([(x,) for x in names], "folder string")
+
+
+# ---- more scans
+
+_add("multi_file_scan", lambda s, d: files.read_parquet(s, f"{d}/nation.parquet", f"{d}/nation.parquet", columns=["n_nationkey", "n_name"]), "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+_add("file_discovery", lambda s, d: files.read_parquet(s, d, pattern="reg*.parquet", columns=["r_regionkey", "r_name"]), "SELECT r_regionkey, r_name FROM region")
+_add(
+    "split_problems",
+    lambda s, d: dataset.split_problems(dataset.split_counts(Data(s, d).split().filter("split <> 'test' AND NOT (split = 'val' AND target = 1)"))),
+    "SELECT * FROM (VALUES ('test', 'the test part has no rows'), ('val', 'the val part has no positives')) AS t(split, problem)",
+)
 
 
 # ---- profiles
@@ -331,6 +406,30 @@ def _rates(keys: str, on: str) -> str:
     return _with(f"{_labels(on)}, v AS (SELECT {group}, count(*) AS volume FROM grouped GROUP BY ALL), r AS (SELECT v.*, fraud_count, labeled_count, {O.finite('fraud_count * 100.0::DOUBLE / labeled_count')} AS fraud_rate_pct FROM v LEFT JOIN l ON {match}) SELECT * FROM r")
 
 
+@_query(ORACLES["value_counts_with_rate"])
+def profile_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile that was written as CSV over an earlier one, and read back."""
+    data, folder = Data(spark, sf_dir), _shared(spark, "profiles")
+    found = value_counts_with_rate(spark, sf_dir)
+    for table in (profile.dominant_group(data.grouped(), "event_desc"), found):
+        profile.export({"event_desc": table}, folder)
+    return files.read_csv(spark, f"{folder}/event_desc", ", ".join(f"{c} {t}" for c, t in found.dtypes))
+
+
+@_query(_rates("tx_type_group, event_type_nm", "tx_type_group, event_type_nm").replace("SELECT * FROM r", "SELECT tx_type_group, event_type_nm, volume, row_number() OVER (ORDER BY tx_type_group, volume DESC, event_type_nm NULLS FIRST)::INT AS place FROM r"))
+def within_group_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places in which rows come out."""
+    data = Data(spark, sf_dir)
+    rows = profile.within_group_stats(data.grouped(), data.labelled(), "event_type_nm").withColumn("_at", F.monotonically_increasing_id())
+    return rows.select("tx_type_group", "event_type_nm", "volume", F.row_number().over(W.orderBy("_at")).alias("place"))  # a profile of few rows
+
+
+@_query(_with("SELECT g.tx_type_group, g.group_name, (SELECT count(*) FROM grouped x WHERE x.tx_type_group = g.tx_type_group) AS total_volume FROM (VALUES (0, 'nonpayment'), (1, 'card'), (2, 'p2p')) AS g(tx_type_group, group_name)"))
+def group_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = Data(spark, sf_dir)
+    return profile.group_volumes(profile.within_group_stats(data.grouped(), data.labelled(), "event_desc"))
+
+
 _add("within_group_stats", lambda s, d: _rate_shown(profile.within_group_stats((x := Data(s, d)).grouped(), x.labelled(), "event_type_nm")), _rates("tx_type_group, event_type_nm", "tx_type_group, event_type_nm"))
 _add("pair_stats", lambda s, d: _rate_shown(profile.pair_stats((x := Data(s, d)).grouped(), x.labelled())), _rates("event_type_nm, event_desc, tx_type_group", "event_type_nm, event_desc"))
 _CHANNELS = _rates("channel_indicator_type, channel_indicator_sub_type", "channel_indicator_type, channel_indicator_sub_type")
@@ -436,7 +535,7 @@ def duplicate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_with(f"{_BASE} SELECT event_id, {O.finite('score')} AS predict FROM base JOIN scored USING (event_id) WHERE split = 'test'"))
 def score_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The submission, written as CSV and read back."""
-    data, path = Data(spark, sf_dir), f"{_shared(spark)}/submission"
+    data, path = Data(spark, sf_dir), _shared(spark, "submission")
     rows = data.split().filter("split = 'test'").join(adapters.pseudo_score(data.raw), "event_id").select("event_id", F.col("score").alias("predict"))
     files.write_csv(rows, path)
     return files.read_csv(spark, path, "event_id long, predict double").select("event_id", X.finite("predict").alias("predict"))
@@ -448,8 +547,8 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Statistics and target encodings are those of events before the test part.  The features are written and read back: training reads them many times.
     """
-    data, path = Data(spark, sf_dir), f"{_shared(spark)}/model_features"
-    files.write_parquet(build_features(data.tx, stats.compute_stats(data.tx, data.labels, as_of=END)), path)
+    data, path = Data(spark, sf_dir), _shared(spark, "model_features")
+    files.write_parquet(build_features(data.tx, _stats(data, as_of=END)), path)
     df = dataset.with_labels(files.read_parquet(spark, path), data.labels).withColumn("split", dataset.split_of(CUTOFF, END))
     columns = dataset.feature_columns(df.drop("split").schema)
     known = df.filter("is_train = 1")

@@ -15,6 +15,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else each column function looks up its call site, which takes longer than all other planning
         "spark.sql.windowExec.buffer.in.memory.threshold": "65536",
     }
     if shuffle_partitions:

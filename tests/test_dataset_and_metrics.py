@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,24 @@ def test_durations():
     from ledgerlens.session import fmt_seconds
 
     assert [fmt_seconds(s) for s in (0, 61, 3599.6, 7325)] == ["0:00", "1:01", "1:00:00", "2:02:05"]
+
+
+@pytest.mark.parametrize("scores", [[], [0.5], [0.25, 0.25, 0.75], [i / 7 for i in range(50)], [1e-9 * i for i in range(60)] + [-3.5, 2e12, -2e12, 0.0, -0.0]])
+def test_running_sums_by_levels(spark, scores):
+    """Scores that pile up near 0, lie outside 0 to 1, or repeat."""
+    import numpy as np
+
+    df = spark.createDataFrame([(i % 2, s) for i, s in enumerate(scores)] + [(1, None), (0, math.nan)], "target int, score double")
+    rows = {r.score + 0.0: (r.tp, r.fp, r.positives) for r in metrics.thresholds(df).collect()}
+    both = list(enumerate(scores))
+    assert rows == {s + 0.0: (sum(i % 2 for i, x in both if x >= s), sum(1 - i % 2 for i, x in both if x >= s), sum(i % 2 for i, _ in both)) for s in scores}
+    found = {r.pct: r.score for r in metrics.score_percentiles(df).collect()}
+    assert len(found) == 8
+    for pct, score in found.items():
+        assert score is None if not scores else math.isclose(score, float(np.percentile(scores, pct)), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_buckets_of_sparse_ids(spark):
+    ids = [-(2**62), -5, 0, 1, 2, 3, 2**20, 2**20 + 1, 2**40, 2**41 + 7, 2**62]
+    df = spark.createDataFrame([(i,) for i in ids * 2] + [(None,)], "customer_id long")
+    assert {r.customer_id: r.bucket for r in materialize.customer_buckets(df, 4).collect()} == {i: k // 3 for k, i in enumerate(ids)}
