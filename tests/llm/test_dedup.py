@@ -185,7 +185,7 @@ def test_only_some_documents(spark):
 
 
 def test_few_similar_pairs_are_lost():
-    """Generated pairs of similarity 0.75 to 0.8, sets of 3 to 500: they share a bucket, pass the estimate, and share bands of other coordinates."""
+    """Generated pairs of similarity 0.75 to 0.8, sets of 3 to 500: they share a bucket and pass the estimate."""
     import pyarrow as pa
 
     r, texts = np.random.default_rng(2), []
@@ -204,9 +204,7 @@ def test_few_similar_pairs_are_lost():
     near = jaccard >= 0.75
     assert near.sum() == 3_000 and (jaccard[near] <= 0.81).all()
     banded = same.reshape(-1, 32, 4).all(axis=2).any(axis=1)
-    shifted = np.roll(same, -2, axis=1).reshape(-1, 32, 4).all(axis=2).any(axis=1)
-    apart = same.reshape(-1, 4, 32).all(axis=1).any(axis=1)
-    for found in (banded, shifted, apart, same.mean(axis=1) >= 0.75 - near_dedup.MARGIN):
+    for found in (banded, same.mean(axis=1) >= 0.75 - near_dedup.MARGIN):
         assert found[near].mean() > 0.9985
 
 
