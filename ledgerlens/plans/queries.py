@@ -75,10 +75,11 @@ _held: list[stats.Stats] = []
 
 def _stats(data: Data, only: list[str] | None = None, **options) -> stats.Stats:
     """Statistics, kept in memory until the next query's."""
-    while _held:
-        _held.pop().release()
-    _held.append(stats.compute_stats(data.tx, data.labels, only=only, **options))
-    return _held[0]
+    found = stats.compute_stats(data.tx, data.labels, only=only, **options)
+    before, _held[:] = _held[:], [found]
+    for one in before:
+        one.release()
+    return found
 
 
 def _features(name: str, columns: list[str], upto: str, tables: list[str] | None = None, source: str | None = None) -> None:
