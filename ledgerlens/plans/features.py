@@ -11,7 +11,18 @@ from ledgerlens.operators.history import with_history
 from ledgerlens.operators.stats import Stats, with_lookups
 
 KEYS_AT_ONCE = 6
-PART_BYTES, GROWTH = 128 << 20, 10
+PART_BYTES, GROWTH, MOST_PARTS = 128 << 20, 10, 1 << 20
+
+
+def bytes_read(tx: DataFrame) -> int:
+    """The sizes of the tables that tx reads, added up; rows of unknown size, as those of a local list or an RDD, count nothing.
+
+    The planner's estimate for tx itself won't do: it is the largest number there is for unknown sizes, and the product of both sides for a join.
+    """
+    unknown = tx.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    leaves = tx._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return sum(s for s in sizes if s < unknown)
 
 
 def by_customer(tx: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -21,8 +32,7 @@ def by_customer(tx: DataFrame, partitions: int | None = None) -> DataFrame:
     tenfold on this partitioning.
     """
     if partitions is None:
-        size = int(str(tx._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate, from the files' sizes
-        partitions = max(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size * GROWTH // PART_BYTES))
+        partitions = max(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, bytes_read(tx) * GROWTH // PART_BYTES))
     return tx.repartition(partitions, "customer_id")
 
 

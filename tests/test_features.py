@@ -155,3 +155,18 @@ def test_text_times(spark, sample):
 
 def test_empty_table(sample):
     assert build_features(sample[0].filter("false"), compute_stats(sample[0].filter("false"), sample[1])).count() == 0
+
+
+def test_parts_follow_the_size_of_the_tables(spark, tmp_path, monkeypatch):
+    from ledgerlens.plans import features
+
+    local = tx(spark, [{"customer_id": 1, "event_id": 1}])
+    parts = lambda df: features.by_customer(df).rdd.getNumPartitions()
+    assert features.bytes_read(local) == 0 and parts(local) == 4  # spark.sql.shuffle.partitions
+    spark.range(100_000).selectExpr("id AS customer_id", "id % 7 AS x").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = features.bytes_read(table)
+    assert size > 100_000 and features.bytes_read(table.join(table.withColumnRenamed("x", "y"), "customer_id")) == 2 * size
+    assert features.bytes_read(table.unionByName(local.select("customer_id"), allowMissingColumns=True)) == size
+    monkeypatch.setattr(features, "PART_BYTES", size)
+    assert parts(table) == features.GROWTH
