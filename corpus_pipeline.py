@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and
-read again as the next one's docs.  All but the last return the columns of documents.  An empty table gives an empty result.
+read again as the next one's docs.  Each begins with a collection of garbage, as one stage's leavings count against the next one's memory.  All but the last return the columns of documents.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents stay.
     """
     scratch.tune(spark)
+    scratch.collect_garbage(spark)
     net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return (docs.filter(quality_score(net)(F.col("text")) >= THRESHOLD) if net else docs).select(COLUMNS)
 
@@ -36,6 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts become empty ones; they and empty texts stay.  Rows of one id never cut each other's lines, and rows without an id keep theirs.
     """
+    scratch.collect_garbage(spark)
     out = dedup_lines(docs).filter(r"n_dropped = 0 OR kept_text RLIKE '[^\\x20\\x09-\\x0D]'")
     return out.select("doc_id", F.col("kept_text").alias("text"), "rest.lang", "rest.source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
@@ -50,18 +52,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
     copies = lambda table, ids: scratch.keep(near_duplicates(table, only=ids).filter("component_id != doc_id").select("doc_id").distinct(), "copies")
     ids = docs.select("doc_id")
+    scratch.collect_garbage(spark)
     gone = copies(whole, ids)
+    scratch.collect_garbage(spark)
     gone = gone.unionAll(copies(docs, ids.join(gone, "doc_id", "left_anti")))
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go; null and empty texts overlap with none, and each row is judged by itself."""
+    scratch.collect_garbage(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its place in the mix of sources; all rows stay, repeated ones and those without an id, a text or a source too."""
+    scratch.collect_garbage(spark)
     return mix_sources(docs, WEIGHTS)
 
 

@@ -16,6 +16,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 200_000
 _kept: list[str] = []
@@ -67,6 +68,17 @@ def tune(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, environment.get("PYTHONPATH", "").split(os.pathsep))])
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, so that heap and buffers which only earlier stages needed go back to the system.
+
+    An executor's heap grows to its limit in a long session and is then held beside the Python workers.  There is a task for each core; an executor
+    that gets none keeps its garbage, which changes no result.
+    """
+    n = spark.sparkContext.defaultParallelism
+    done = F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")
+    spark.range(0, n, 1, n).select(done).write.format("noop").mode("overwrite").save()
+
+
 def shards(total: int, each: int) -> int:
     """How many shards of about `each` items hold `total` items; grows with the input, with no upper limit below 2 ** 24."""
     return max(1, min(1 << 24, -(-int(total) // each)))

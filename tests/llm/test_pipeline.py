@@ -79,6 +79,14 @@ def test_stages_on_strange_rows(spark, strange, stage):
     assert stage(spark, docs.filter("false"), strange).count() == 0
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_collect_the_garbage_of_earlier_ones(spark, strange, stage):
+    whole = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    stage(spark, spark.read.parquet(f"{strange}/documents.parquet").filter("false"), strange)
+    assert whole() > before
+
+
 def test_near_copies_go_whatever_line_dedup_has_left(spark, tmp_path):
     lines = [f"line {k} of a text with some more words in it" for k in range(30)]
     copy = [x if k != 7 else "a line of its own that no other text holds" for k, x in enumerate(lines)]
