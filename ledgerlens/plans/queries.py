@@ -326,14 +326,22 @@ _DIGEST = " + ".join(f"{1 + i % 97} * coalesce({O.finite(c)}, -999)" for i, c in
 @_query(f"WITH {O.CHAIN} SELECT event_id, {2 * len(_MATRIX)} AS width, {_DIGEST} AS digest FROM features")
 def assemble_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of the feature build with its missing-value indicators: the width, and a weighted sum of all features' cells."""
-    from pyspark.ml.functions import vector_to_array
-
     data = Data(spark, sf_dir)
     built = build_features(data.tx, _stats(data))
-    columns = dataset.feature_columns(built.schema)
-    cells = dataset.assemble(built, columns, indicators=True).select("event_id", vector_to_array("features").alias("cells"))
-    parts = cells.select("event_id", F.size("cells").alias("width"), *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns))).select("event_id", "width", *(X.finite(c).alias(c) for c in columns))
-    return parts.select("event_id", "width", F.expr(" + ".join(f"{1 + i % 97} * `{c}`" for i, c in enumerate(sorted(columns)))).alias("digest"))
+    return matrix_digest(built, sorted(dataset.feature_columns(built.schema)))
+
+
+def matrix_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """event_id, the width of the assembled vector, and the sum of its value cells, each as finite() shows it times 1 + its place modulo 97.
+
+    The sum runs over the array from left to right: as one expression over hundreds of cells, the generated code is too large to be compiled.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    cells = dataset.assemble(df, columns, indicators=True).select("event_id", vector_to_array("features").alias("cells"))
+    weights = ", ".join(f"{1 + i % 97}D" for i in range(len(columns)))
+    terms = f"zip_with(slice(cells, 1, {len(columns)}), array({weights}), (x, w) -> w * {X.finite_sql('x')})"
+    return cells.select("event_id", F.size("cells").alias("width"), F.expr(f"aggregate({terms}, 0D, (s, x) -> s + x)").alias("digest"))
 
 
 @_query("SELECT event_id, value FROM events")

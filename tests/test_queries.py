@@ -106,3 +106,21 @@ def test_nothing_else_imports_the_llm_operators():
     for p in (root / "ledgerlens").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text()
+
+
+def test_digest_of_a_wide_matrix_is_compiled(spark):
+    """As many columns as the feature build has; with the fallback off, generated code that can't be compiled is an error."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.plans.queries import matrix_digest
+
+    names = [f"c{i:03}" for i in range(401)]
+    df = spark.range(4).select(F.col("id").alias("event_id"), *(F.when(F.col("id") != i % 5, (F.col("id") + 1) * (i + 0.125)).alias(c) for i, c in enumerate(names)))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = matrix_digest(df, names).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    shown = lambda x: math.floor((x + 1.37e-5) * 1e4 + 0.5) / 1e4
+    wanted = {k: sum((1 + i % 97) * shown((k + 1) * (i + 0.125) if k != i % 5 else -999.0) for i in range(401)) for k in range(4)}
+    assert {r.event_id: (r.width, r.digest) for r in rows} == {k: (802, v) for k, v in wanted.items()}
