@@ -197,3 +197,20 @@ def test_buckets_of_sparse_ids(spark):
     ids = [-(2**62), -5, 0, 1, 2, 3, 2**20, 2**20 + 1, 2**40, 2**41 + 7, 2**62]
     df = spark.createDataFrame([(i,) for i in ids * 2] + [(None,)], "customer_id long")
     assert {r.customer_id: r.bucket for r in materialize.customer_buckets(df, 4).collect()} == {i: k // 3 for k, i in enumerate(ids)}
+
+
+def test_seeds_and_segments_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Two segments of two seeds each: their four fits have all begun before any of them goes on."""
+    import threading
+
+    met, fit = threading.Barrier(4), models.GBTClassifier.fit
+
+    def meeting(self, rows):
+        met.wait(120)
+        return fit(self, rows)
+
+    monkeypatch.setattr(models.GBTClassifier, "fit", meeting)
+    df = spark.createDataFrame([(i, i % 2, float(i % 10), int(i % 10 > 6)) for i in range(200)], "event_id long, model_group int, x double, target int")
+    fitted = models.fit_routed(df, df, ["x"], seeds=(1, 2), rounds=2, depth=2)
+    assert sorted(fitted.ensembles) == [0, 1] and all(len(e.boosted) == 2 for e in fitted.ensembles.values())
+    assert all((r.score > 0.5) == (r.target == 1) for r in fitted.score(df).collect())
