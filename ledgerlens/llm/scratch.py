@@ -10,15 +10,19 @@ missing (unit tests in local mode) a folder of the driver is used.
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 200_000
+#: Of the driver's largest heap: beyond this share its garbage is collected when a table has been written.
+SWOLLEN = 0.4
 _kept: list[str] = []
 
 
@@ -40,6 +44,9 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(8, rows // ROWS_PER_FILE))
     df.write.parquet(path)
     _kept.append(path)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > SWOLLEN * runtime.maxMemory():
+        collect_own_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,12 +75,32 @@ def tune(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, environment.get("PYTHONPATH", "").split(os.pathsep))])
 
 
+def collect_own_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that its heap shrinks again, and give the memory that its JVM has freed outside the heap back to the system.
+
+    Plans and broadcast tables of earlier jobs fill the heap: on small tables nearly every join is a broadcast.  Python's garbage goes first, as it holds on to
+    objects of the JVM.  What compiling generated code takes is freed but kept by the C library; a JVM without the command to trim it keeps it.
+    """
+    gc.collect()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):
+        find = jvm.java.lang.Class.forName
+        names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        kinds, values = new(jvm.java.lang.Class, len(names)), new(jvm.java.lang.Object, len(names))
+        given = (jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0))
+        for i, (kind, value) in enumerate(zip(names, given, strict=True)):
+            kinds[i], values[i] = find(kind), value
+        find("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 def collect_garbage(spark: SparkSession) -> None:
-    """Have the executors collect their garbage, so that heap and buffers which only earlier stages needed go back to the system.
+    """Have the driver and the executors collect their garbage, so that heap and buffers which only earlier stages needed go back to the system.
 
     An executor's heap grows to its limit in a long session and is then held beside the Python workers.  There is a task for each core; an executor
     that gets none keeps its garbage, which changes no result.
     """
+    collect_own_garbage(spark)
     n = spark.sparkContext.defaultParallelism
     done = F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")
     spark.range(0, n, 1, n).select(done).write.format("noop").mode("overwrite").save()

@@ -102,3 +102,16 @@ def test_run_leaves_only_what_its_result_reads(spark):
     corpus_pipeline.run(spark, SF)
     new = [p for p in scratch.kept() if p not in before]
     assert not [p for p in new if "sketches" in p or "blocks" in p or "quality_classifier" in p] and any("benchmark_decontamination" in p for p in new)
+
+
+def test_the_drivers_garbage_is_collected_when_its_heap_has_grown(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    monkeypatch.setattr(scratch, "SWOLLEN", 0.0)
+    before = full()
+    assert scratch.keep(spark.range(3), "few").count() == 3
+    assert full() > before
+    monkeypatch.setattr(scratch, "SWOLLEN", 1.0)
+    before = full()
+    scratch.keep(spark.range(3), "few")
+    assert full() == before
