@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 ROWS_PER_FILE = 200_000
 #: Of the driver's largest heap: beyond this share its garbage is collected when a table has been written.
 SWOLLEN = 0.4
+#: Of kept tables: bytes of a row group, which a task holds as it writes and as it reads.  Rows can be blocks of 1 MB, so sizes are looked at from the first row on.
+WRITTEN = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+#: Rows that a task reads from Parquet at once; texts can be long.
+READ_ROWS = 256
 _kept: list[str] = []
 
 
@@ -42,7 +46,7 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(8, rows // ROWS_PER_FILE))
-    df.write.parquet(path)
+    df.write.options(**WRITTEN).parquet(path)
     _kept.append(path)
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() > SWOLLEN * runtime.maxMemory():
@@ -66,7 +70,8 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the batches between the JVM and Python by bytes too, as texts and blocks can be long, and let workers find this package."""
+    """Bound the batches between the JVM and Python by bytes too, as texts and blocks can be long, read few rows at once, and let workers find this package."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -115,3 +115,24 @@ def test_the_drivers_garbage_is_collected_when_its_heap_has_grown(spark, monkeyp
     before = full()
     scratch.keep(spark.range(3), "few")
     assert full() == before
+
+
+def test_tables_of_long_rows_are_written_and_read_in_small_parts(spark, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    def blocks(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            for _ in range(48):
+                yield pa.record_batch({"payload": pa.array([os.urandom(1 << 20)], pa.binary())})
+
+    scratch.keep(spark.range(0, 1, 1, 1).mapInArrow(blocks, "payload binary"), "long")
+    groups = [f.metadata.row_group(k) for f in map(pq.ParquetFile, spark.read.parquet(scratch.kept()[-1]).inputFiles()[0].removeprefix("file://").split()) for k in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 48 and max(g.total_byte_size for g in groups) <= 20 << 20
+    spark.range(0, 2000, 1, 1).write.parquet(f"file://{tmp_path}/many")
+    scratch.tune(spark)
+    scan = spark.read.parquet(f"file://{tmp_path}/many")._jdf.queryExecution().sparkPlan()
+    assert scan.executeColumnar().count() >= 7
