@@ -214,3 +214,23 @@ def test_seeds_and_segments_are_fitted_at_the_same_time(spark, monkeypatch):
     fitted = models.fit_routed(df, df, ["x"], seeds=(1, 2), rounds=2, depth=2)
     assert sorted(fitted.ensembles) == [0, 1] and all(len(e.boosted) == 2 for e in fitted.ensembles.values())
     assert all((r.score > 0.5) == (r.target == 1) for r in fitted.score(df).collect())
+
+
+@pytest.mark.parametrize(("n_neg", "n_pos", "ratio"), [(400, 7, 0.05), (30, 40, 0.05), (300, 0, 0.1), (5, 0, 0.1), (50, 3, None)])
+def test_samples_of_all_seeds_in_one_pass(spark, n_neg, n_pos, ratio):
+    df = spark.createDataFrame([(i * 37, int(i >= n_neg)) for i in range(n_neg + n_pos)], "event_id long, target int").repartition(3)
+    for seed, condition in zip((42, 7), dataset.undersampling(df, ratio, (42, 7)), strict=True):
+        assert sorted(df.filter(condition).collect()) == sorted(dataset.undersample(df, ratio, seed).collect())
+
+
+def test_a_segment_is_assembled_once_for_all_learners(spark, monkeypatch):
+    """Training and validation rows once each, whatever the number of seeds; rows that have their vectors are taken as they are."""
+    calls, plain = [], models.assemble
+    monkeypatch.setattr(models, "assemble", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    df = spark.createDataFrame([(i, 0, float(i % 10), int(i % 10 > 6)) for i in range(200)], "event_id long, model_group int, x double, target int")
+    for rows, most in ((df, 2), (plain(df, ["x"]), 0)):
+        calls.clear()
+        ensemble = models.fit_ensemble(rows, rows, ["x"], seeds=(1, 2), rounds=2, depth=2)
+        assert len(calls) == most
+        assert all((r.score > 0.5) == (r.target == 1) for r in ensemble.score(rows).collect())
+        assert models.Routed({0: ensemble}).score(rows).count() == 200  # with or without vectors of their own
